@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_decontaminate
+from . import queries_decontaminate, queries_quality
 
-_MODULES = (queries_decontaminate,)
+_MODULES = (queries_decontaminate, queries_quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
