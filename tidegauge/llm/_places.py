@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 KEY = ("doc_id", "rk")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def packed(carry: tuple[str, ...]) -> list:
+    """Columns to carry along, as one struct ``row``: their names can clash with nothing."""
+    return [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.hash(text).alias("rk"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.hash(text).alias("rk"), text.alias("text"), *packed(carry))
 
 
 def with_places(docs: DataFrame, places: DataFrame, columns: list[str]) -> DataFrame:
     """Keyed docs with the places of their key, null where there are none."""
     p = places.select(F.col("doc_id").alias("p_id"), F.col("rk").alias("p_rk"), *columns)
-    return docs.join(p, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("rk") == F.col("p_rk")), "left").select("doc_id", "rk", "text", *columns)
+    return docs.join(p, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("rk") == F.col("p_rk")), "left").select(*docs.columns, *columns)
 
 
 def repeated(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:

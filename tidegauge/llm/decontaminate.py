@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._places import packed
 
 #: Bytes of item texts in one block of the index.
 BLOCK_BYTES = 8 << 20
 
-_HITS = "doc_id {0}, text string, spans binary, items array<string>, n_words bigint"
+_HITS = "doc_id {0}, text string, spans binary, items array<string>, n_words bigint{1}"
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -154,9 +155,9 @@ def _match(index: Windows, part: pa.RecordBatch, buf: np.ndarray, at: np.ndarray
         s, i = old_spans[d].as_py() or b"", old_items[d].as_py() or []
         new_spans.append(s + np.array(spans[d], np.int64).tobytes() if d in spans else s)
         new_items.append(sorted({*i, *(index.ids[k] for k in items[d])}) if d in items else i)
-    return pa.RecordBatch.from_arrays(
-        [part.column("doc_id"), part.column("text"), pa.array(new_spans, pa.binary()), pa.array(new_items, pa.list_(pa.string())), pa.array(np.diff(first), pa.int64())],
-        names=["doc_id", "text", "spans", "items", "n_words"],
+    row = {"row": part.column("row")} if "row" in part.schema.names else {}
+    return pa.RecordBatch.from_pydict(
+        {"doc_id": part.column("doc_id"), "text": part.column("text"), "spans": pa.array(new_spans, pa.binary()), "items": pa.array(new_items, pa.list_(pa.string())), "n_words": pa.array(np.diff(first), pa.int64()), **row}
     )
 
 
@@ -168,19 +169,21 @@ def _blocks(items: DataFrame, window: int) -> Iterator[Windows]:
         yield Windows([(r[0], r[1]) for r in part.collect()], window)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, window: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Item windows that occur in texts: doc_id, text, spans (int64 pairs of word places, packed), items (ids as sorted strings), n_words.
+def find_leaks(docs: DataFrame, items: DataFrame, *, window: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Item windows that occur in texts: doc_id, text, spans (int64 pairs of word places, packed), items (ids as sorted strings), n_words, and a struct ``row`` of the columns to carry, if any.
 
     One row for each row of docs, repeated ids and rows included.  A null or
     empty text has no words; a null or empty item has no window; a null item id
     is the string ``null``.  Other columns are left out, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    hits = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    hits = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *packed(carry))
     wanted = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item_id"), F.col(item_text).alias("text"))
     texts = hits.select("text")
-    hits = hits.select("*", F.lit(b"").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("n_words"))
-    schema = _HITS.format(kind)
+    more = f", row {hits.schema['row'].dataType.simpleString()}" if carry else ""
+    row = ["row"] if carry else []
+    hits = hits.select("doc_id", "text", F.lit(b"").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("n_words"), *row)
+    schema = _HITS.format(kind, more)
     blocks = list(_blocks(wanted, window)) or [Windows([], window)]
     for index in blocks:
         counts = np.zeros(len(index.vocabulary), np.int64)
@@ -215,8 +218,8 @@ def contamination_report(docs: DataFrame, items: DataFrame, *, window: int = 8)
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, s, i in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
-            if len(i) >= 2:
+        for text, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            if s:
                 raw = text.encode()
                 buf = np.frombuffer(raw, np.uint8)
                 starts, ends, _ = T.words(buf, np.array([0, len(buf)]), T.ALNUM_WORDS)
@@ -228,4 +231,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     last = ends[b - 1]
                 text = b"".join([*kept, raw[last:]]).decode()
             out.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array(out, pa.string()), "items": batch.column("items"), **({"row": batch.column("row")} if "row" in batch.schema.names else {})})
+
+
+def without_leaks(leaks: DataFrame) -> DataFrame:
+    """Rows of find_leaks as doc_id, text without the words of occurring windows and what stands between them, items, and ``row`` if carried."""
+    order = [n for n in ("doc_id", "text", "items", "row") if n in leaks.columns]
+    schema = ", ".join(f"{n} {leaks.schema[n].dataType.simpleString()}" for n in order)
+    return leaks.mapInArrow(_cut, schema)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._places import packed
 from ._spark import let
 
 #: White space that parts words.
@@ -69,27 +70,28 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def quality_ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def quality_ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Measurements and failure bits, one row for each row of docs.
 
     Null text counts as empty: no words, no lines, and so ``too_few_words``.
     Repeated rows are judged one by one.  Columns: doc_id, n_words, word_chars,
     n_symbols, n_lines, n_dup_lines, n_repeat_words, n_letters, n_capitals,
-    failed_bits; the text as ``text`` if asked for.
+    failed_bits; and a struct ``row`` of the columns to carry, if any.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.regexp_replace("t", SPACE, "")
-    base = docs.select(F.col(id_col).alias("doc_id"), *([F.col(text_col).alias("text")] if keep_text else []), t.alias("t"))
+    base = docs.select(F.col(id_col).alias("doc_id"), *packed(carry), t.alias("t"))
+    row = ["row"] if carry else []
     n_words = lambda w: F.size(w).cast("bigint")
     measured = base.select(
         "doc_id",
-        *(["text"] if keep_text else []),
+        *row,
         let(F.array_remove(F.split("t", SPACE), ""), lambda w: F.struct(n_words(w).alias("n_words"), _repeat_words(w).alias("n_repeat_words"))).alias("w"),
         let(F.filter(F.split("t", "\n"), lambda x: F.rtrim(F.translate(x, "\t\n\x0b\x0c\r", "     ")) != ""), lambda x: F.struct(F.size(x).cast("bigint").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"))).alias("l"),
         let(bare, lambda b: F.struct(F.char_length(b).cast("bigint").alias("word_chars"), (F.char_length(b) - F.char_length(F.translate(b, SYMBOLS, ""))).cast("bigint").alias("n_symbols"))).alias("c"),
         (F.char_length("t") - F.char_length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("bigint").alias("n_capitals"),
         F.char_length(F.regexp_replace("t", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", "")).cast("bigint").alias("n_letters"),
-    ).select("doc_id", *(["text"] if keep_text else []), "w.*", "l.*", "c.*", "n_capitals", "n_letters")
+    ).select("doc_id", *row, "w.*", "l.*", "c.*", "n_capitals", "n_letters")
     c = F.col
     failed = {
         "too_few_words": c("n_words") < 10,

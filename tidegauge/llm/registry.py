@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_decontaminate, queries_lm, queries_near_dedup, queries_quality, queries_substring, queries_suffix, queries_urls
+from . import queries_bayes, queries_decontaminate, queries_lm, queries_near_dedup, queries_quality, queries_quotations, queries_sentencepiece, queries_substring, queries_suffix, queries_urls
 
-_MODULES = (queries_decontaminate, queries_lm, queries_near_dedup, queries_quality, queries_substring, queries_suffix, queries_urls)
+_MODULES = (queries_bayes, queries_decontaminate, queries_lm, queries_near_dedup, queries_quality, queries_quotations, queries_sentencepiece, queries_substring, queries_suffix, queries_urls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -102,9 +102,9 @@ def _without(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
                 else:
                     kept.append(b" ".join(buf[at[d] : at[d + 1]].tobytes().split()))
                     removed.append(0)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64()), pa.array([x.decode() for x in kept], pa.string()), part.column("text")],
-                names=["doc_id", "n_words", "n_removed", "kept_text", "text"],
+            more = {n: part.column(n) for n in ("text", "row") if n in part.schema.names}
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": part.column("doc_id"), "n_words": pa.array(np.diff(first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array([x.decode() for x in kept], pa.string()), **more}
             )
 
 
@@ -168,8 +168,8 @@ class FingerprintIndex:
         return repeated(self.history(schema), ["fp"])
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 50, gram: int = 8, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_removed, kept_text, text.
+def remove_repeats(docs: DataFrame, *, window: int = 50, gram: int = 8, batches: int = 2, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_removed, kept_text, text, and a struct ``row`` of the columns to carry, if any.
 
     A word goes if a run of ``window`` words over it also starts anywhere else,
     in the same text or another; all occurrences go.  kept_text joins the words
@@ -178,7 +178,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, gram: int = 8, batches:
     window keeps them all; rows that repeat another in id and text are further
     occurrences like any others.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows, whole = keyed(docs, id_col, text_col), keyed(docs, id_col, text_col, carry)
     spark = docs.sparkSession
     index = FingerprintIndex(spark, window=window, gram=gram)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -188,7 +188,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, gram: int = 8, batches:
     found = by_row(index.repeated(schema), "place")
     windows = with_places(rows, found, ["place"]).mapInArrow(partial(_candidates, window=window, gram=index.gram), f"w1 bigint, w2 int, doc_id {kind}, rk int, at int")
     twice = by_row(repeated(windows, ["w1", "w2"]), "at")
-    return with_places(rows, twice, ["at"]).mapInArrow(partial(_without, window=window), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string, text string")
+    more = f", row {whole.schema['row'].dataType.simpleString()}" if carry else ""
+    return with_places(whole, twice, ["at"]).mapInArrow(partial(_without, window=window), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string, text string{more}")
 
 
 def repeats_report(docs: DataFrame, *, window: int) -> DataFrame:
