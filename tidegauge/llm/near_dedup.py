@@ -8,30 +8,30 @@ unless a whole collection fails: with the default of 8 and 2, and s = 0.85, once
 in 14,000 pairs it does not.
 
 Work is on distinct shingle sets, so that exact copies cost nothing.  In each
-table a set is paired with the table key's least set only, candidates are
-confirmed on the full sets, and components found.  Then, and only for keys that
-still hold sets of several components, pairs across components are tried: no
-link between sets that share a key is left out, and a large group of like sets
-never becomes all its pairs.
+table a set is tied to the key's least set only; the connected sets are a
+cluster.  Within clusters links are confirmed on the full sets by an exact join
+that returns no more links than connect them: a large group of like sets never
+becomes all its pairs, and no link between sets that share a key is left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import written
+from ._spark import partitions, written
 from .components import connected_components
 
-#: Bits by which the sketches of two sets may differ: six deviations above the mean of those alike at 0.8.
-SKETCH_BITS = 44
+#: Shingles that one task compares at once, 8 bytes each; larger clusters are cut.
+TASK_SHINGLES = 2_000_000
 
 
 def _sets(buf: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
@@ -74,25 +74,20 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, halves: int, rows: int)
             sets = _sets(buf, at, size)
             full = [x for x in sets if len(x)]
             bands: list[list[int] | None] = [None] * len(sets)
-            sketch: list[list[int] | None] = [None] * len(sets)
             if full:
                 least = _minima(full, n)
                 half = least[:, ::rows].copy()
                 for r in range(1, rows):
                     half = half * np.uint64(0x9E3779B97F4A7C15) + least[:, r::rows]
                 half = T.mix(half).view(np.int64).tolist()
-                nibble = np.zeros((len(full), 2), np.uint64)
-                for k in range(32):
-                    nibble[:, k // 16] |= ((T.mix(least[:, k % n] + np.uint64(k)) & np.uint64(15)) << np.uint64(4 * (k % 16))).astype(np.uint64)
-                packed = nibble.view(np.int64).tolist()
                 k = 0
                 for i, x in enumerate(sets):
                     if len(x):
-                        bands[i], sketch[i] = half[k], packed[k]
+                        bands[i] = half[k]
                         k += 1
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_key(x) for x in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "half", "sketch"],
+                [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_key(x) for x in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "node", "half"],
             )
 
 
@@ -102,33 +97,85 @@ def _full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
             sets = _sets(buf, at, size)
             keys = [_key(x) for x in sets]
             ok = [i for i, (k, n) in enumerate(zip(keys, part.column("node").to_pylist(), strict=True)) if k == n]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in ok], pa.binary()), pa.array([sets[i].tobytes() for i in ok], pa.binary())], names=["node", "shingles"])
+            take = pa.array(ok, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("node").take(take), part.column("component").take(take), part.column("tasks").take(take), pa.array([sets[i].tobytes() for i in ok], pa.binary())], names=["node", "component", "tasks", "shingles"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def join_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) that connect just what all pairs with 100 * intersection >= percent * union connect.
+
+    A prefix-filtered join: tokens in order of rarity, sets in order of size.  A
+    set is compared, in full, only with smaller ones that share a token of its
+    prefix and are not yet connected with it; so a group of like sets costs
+    little, and a token that all share is in no prefix.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    token, inverse, often = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(token), np.int64)
+    rank[np.lexsort((token, often))] = np.arange(len(token))
+    flat = rank[inverse]
+    size = size[order]
+    at = np.concatenate(([0], np.cumsum(size)))
+    owner = np.repeat(np.arange(n), size)
+    flat = flat[np.lexsort((flat, owner))]
+    prefix = size - -(-percent * size // 100) + 1
+    early = np.arange(at[-1]) - at[owner] < prefix[owner]
+    words, texts = flat[early], owner[early]
+    posted = np.argsort(words, kind="stable")
+    texts = texts[posted]
+    begin = np.searchsorted(words[posted], np.arange(len(token) + 1))
+    root = np.arange(n)
+    mark = np.zeros(len(token), bool)
+    links = []
+    for x in range(1, n):
+        mine = flat[at[x] : at[x + 1]]
+        found = [texts[begin[t] : begin[t + 1]] for t in mine[: prefix[x]] if begin[t + 1] - begin[t] > 1]
+        if not found:
+            continue
+        near = np.unique(np.concatenate(found))
+        near = near[near < x]
+        near = near[(root[near] != root[x]) & (100 * size[near] >= percent * size[x])]
+        if not len(near):
+            continue
+        mark[mine] = True
+        many = size[near]
+        places = np.repeat(at[near] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        same = np.add.reduceat(mark[flat[places]].astype(np.int64), np.cumsum(many) - many)
+        mark[mine] = False
+        for y in near[100 * same >= percent * (size[x] + many - same)].tolist():
+            if root[y] != root[x]:
+                links.append((int(order[x]), int(order[y])))
+                root[root == root[y]] = root[x]
+    return links
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
+    """Nodes and sets of each task, from rows sorted by task; a node that comes twice is taken once."""
+    task, seen = None, {}
     for batch in batches:
-        x, xa = T.byte_view(batch.column("set_a"))
-        y, ya = T.byte_view(batch.column("set_b"))
-        ok = []
-        for i in range(batch.num_rows):
-            p, q = x[xa[i] : xa[i + 1]].view(np.uint64), y[ya[i] : ya[i + 1]].view(np.uint64)
-            if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                continue
-            both = np.sort(np.concatenate((p, q)), kind="stable")
-            same = int((both[1:] == both[:-1]).sum())
-            if 100 * same >= percent * (len(p) + len(q) - same):
-                ok.append(i)
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(ok, pa.int64())), batch.column("b").take(pa.array(ok, pa.int64()))], names=["a", "b"])
-
-
-def _alike(x: str, y: str, percent: int) -> Column:
-    """Whether two sets can be alike by their sizes and sketches."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))) + F.bit_count(F.col(f"{x}.s1").bitwiseXOR(F.col(f"{y}.s1")))
-    return (100 * n >= percent * m) & (100 * m >= percent * n) & (differ <= SKETCH_BITS)
-
-
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, halves: int = 8, rows: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        names, nodes = batch.column("task").to_pylist(), batch.column("node").to_pylist()
+        raw, at = T.byte_view(batch.column("shingles"))
+        for k, name in enumerate(names):
+            if name != task:
+                if len(seen) > 1:
+                    yield list(seen), list(seen.values())
+                task, seen = name, {}
+            if nodes[k] not in seen:
+                seen[nodes[k]] = raw[at[k] : at[k + 1]].view(np.uint64)
+    if len(seen) > 1:
+        yield list(seen), list(seen.values())
+
+
+def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for nodes, sets in _groups(batches):
+        found = join_sets(sets, percent)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.binary()), pa.array([nodes[j] for _, j in found], pa.binary())], names=["a", "b"])
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, halves: int = 8, rows: int = 2, task_shingles: int = TASK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (least doc_id reachable by links), kept (doc_id = component_id).
 
     A link joins documents whose sets of shingles of ``words`` words have
@@ -137,37 +184,20 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, halve
     Rows that repeat a doc_id stay, each with its own set; a null id is no
     component's least, and its ``kept`` is null.
     """
-    if 2 * halves * rows < 32:
-        raise ValueError("the sketch needs 32 minima at least")
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = base.mapInArrow(partial(_sign, size=words, halves=halves, rows=rows), f"doc_id {kind}, n_shingles bigint, node binary, half array<bigint>, sketch array<bigint>")
+    signed = base.mapInArrow(partial(_sign, size=words, halves=halves, rows=rows), f"doc_id {kind}, n_shingles bigint, node binary, half array<bigint>")
     signed = written(signed, "signatures")
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("half").alias("half"), F.first("sketch").alias("sketch"))
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("half").alias("half"))
 
     pairs = F.array(*[F.xxhash64(F.get("half", F.lit(i)), F.get("half", F.lit(halves + j)), F.lit(i * halves + j)) for i in range(halves) for j in range(halves)])
     keys = nodes.select("node", F.explode(pairs).alias("key"))
     leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
-    shared = written(keys.join(leaders, "key"), "tables")
-
-    brief = nodes.select("node", "n", F.get("sketch", F.lit(0)).alias("s0"), F.get("sketch", F.lit(1)).alias("s1"))
-    first = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = first.join(brief.alias("x"), F.col("a") == F.col("x.node")).join(brief.alias("y"), F.col("b") == F.col("y.node")).where(_alike("x", "y", percent)).select("a", "b")
-    first = written(first, "pairs")
-    links = written(_confirmed(base, nodes, first, words, percent), "links")
+    met = keys.join(leaders, "key").where("node <> leader").select("leader", "node").distinct()
+    clusters = connected_components(met, "leader", "node")
+    links = written(_confirmed(base, nodes, clusters, words, percent, task_shingles), "links")
     parts = connected_components(links)
 
-    # keys whose sets are not all in one component yet
-    placed = shared.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = placed.join(split, "key").join(brief, "node")
-    second = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent))
-    second = second.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = written(second, "pairs")
-    if not second.isEmpty():
-        links = links.unionByName(_confirmed(base, nodes, second, words, percent))
-        parts = connected_components(links)
-
     members = signed.select("doc_id", "n_shingles", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = members.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = members.join(least, "component", "left")
@@ -175,11 +205,30 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, halve
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def _confirmed(base: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs that are links by their full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
-    texts = base.join(wanted, "doc_id").select("node", "text")
-    sets = texts.mapInArrow(partial(_full_sets, size=words), "node binary, shingles binary").dropDuplicates(["node"])
-    sets = written(sets, "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(partial(_confirm, percent=percent), "a binary, b binary")
+def _confirmed(base: DataFrame, nodes: DataFrame, clusters: DataFrame, words: int, percent: int, task_shingles: int) -> DataFrame:
+    """Links by full sets between any two sets of a cluster, as many as connect what is connected.
+
+    A cluster of up to ``task_shingles`` is one task.  A larger one is cut into
+    cells by class of size, where sets of like size are in the same class or the
+    next, and by a salt; each two cells of a class or of neighbouring ones are a
+    task, so that every pair that can be alike meets.
+    """
+    sized = clusters.join(nodes.select("node", "n", "doc_id"), "node")
+    whole = sized.groupBy("component").agg(F.ceil(F.sum("n") / task_shingles).cast("int").alias("cells"))
+    rung = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+    placed = sized.join(whole, "component").withColumn("rung", rung).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    salts = F.sequence(F.lit(0), F.col("cells") - 1)
+    name = lambda r, s, q, t: F.concat_ws(" ", r.cast("string"), s.cast("string"), q.cast("string"), t.cast("string"))
+    r, s = F.col("rung"), F.col("salt")
+    tasks = F.concat(
+        F.transform(salts, lambda t: name(r, F.least(s, t), r, F.greatest(s, t))),
+        F.transform(salts, lambda t: name(r, s, r + 1, t)),
+        F.transform(salts, lambda t: name(r - 1, t, r, s)),
+    )
+    tasks = F.when(F.col("cells") == 1, F.array(F.lit(""))).otherwise(tasks)
+    wanted = placed.select("node", F.col("doc_id"), "component", tasks.alias("tasks"))
+    texts = base.join(wanted, "doc_id").select("doc_id", "text", "node", "component", "tasks")
+    sets = texts.mapInArrow(partial(_full_sets, size=words), "node binary, component binary, tasks array<string>, shingles binary")
+    dealt = sets.select("node", "shingles", F.explode("tasks").alias("t"), "component").select("node", "shingles", F.concat("component", F.col("t").cast("binary")).alias("task"))
+    dealt = dealt.repartition(partitions(base.sparkSession), "task").sortWithinPartitions("task")
+    return dealt.mapInArrow(partial(_links, percent=percent), "a binary, b binary")
