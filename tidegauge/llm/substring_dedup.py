@@ -2,14 +2,16 @@
 
 A window is ``window`` consecutive words.  It is fingerprinted by the least hash
 among its runs of ``gram`` words, so that neighbouring windows share a
-fingerprint and the index holds one row for some 14 words.  Equal windows have
+fingerprint and make a block: the index holds one row for some 14 words, with
+the fingerprint and a 96-bit hash of all words of the block.  Equal windows have
 equal fingerprints at equal places in them.
 
 The index is a set of runs: immutable tables sorted by fingerprint.  A new
-batch becomes a run; it is merge-joined with the earlier runs, windows under
-fingerprints found twice are verified by a 96-bit hash of all their words, and
-runs of a level are compacted into one of the next as soon as there are
-``FANOUT`` of them, so that a fingerprint is rewritten only as often as the
+batch becomes a run; it is merge-joined with the earlier runs.  Blocks under
+fingerprints found twice are verified: one that is found twice as a whole is
+repeated, and of others each window is compared by a 96-bit hash of its words
+with all windows under its fingerprint.  Runs of a level are compacted into one of the next as soon as there are ``FANOUT``
+of them, so that a fingerprint is rewritten only as often as the
 index has levels.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._places import KEY, by_row, keyed, repeated, with_places
-from ._spark import scratch
+from ._spark import scratch, written
 
 #: Runs of a level that are compacted into one of the next.
 FANOUT = 4
@@ -45,58 +47,93 @@ class _Words:
         self.anchor = T.minimizers(self.grams, self.inside, window - gram + 1)[: len(self.inside)]
 
 
+def _blocks(w: _Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors with the windows over each: places, first windows, numbers of windows, and two hashes of all their words.
+
+    The windows over an anchor are neighbours, fewer than a window has words, so
+    that the first and the last hold all words of the block between them.
+    """
+    i = np.flatnonzero(w.inside)
+    if not len(i):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+    place = w.anchor[i]
+    new = np.concatenate(([True], (place[1:] != place[:-1]) | (i[1:] != i[:-1] + 1)))
+    start = np.flatnonzero(new)
+    many = np.diff(np.append(start, len(i)))
+    first, last = i[start], i[start] + many - 1
+    one, two = _window_hashes(w, window)
+    k = many.astype(np.uint64)
+    b1 = T.mix(one[first] * np.uint64(3) + T.mix(one[last] + k))
+    b2 = T.mix(two[first] * np.uint64(5) + T.mix(two[last] + k))
+    return place[start], first, many, b1, b2
+
+
+def _window_hashes(w: _Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    return T.gram_hashes(w.hashes, window), T.gram_hashes(T.mix(w.hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), window)
+
+
+def _high(x: np.ndarray) -> pa.Array:
+    return pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, buf, at in T.chunks(batch):
             w = _Words(buf, at, window, gram)
-            place = np.unique(w.anchor[w.inside])
+            place, first, many, b1, b2 = _blocks(w, window)
             text = np.searchsorted(w.first, place, "right") - 1
             take = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w.grams[place].view(np.int64)), part.column("doc_id").take(take), part.column("rk").take(take), pa.array((place - w.first[text]).astype(np.int32))],
-                names=["fp", "doc_id", "rk", "place"],
+                [
+                    pa.array(w.grams[place].view(np.int64)),
+                    pa.array(b1.view(np.int64)),
+                    _high(b2),
+                    part.column("doc_id").take(take),
+                    part.column("rk").take(take),
+                    pa.array((first - w.first[text]).astype(np.int32)),
+                    pa.array(many.astype(np.int32)),
+                ],
+                names=["fp", "b1", "b2", "doc_id", "rk", "at", "n"],
             )
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The windows under the fingerprints at the given places."""
+def _candidates(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The windows of the given blocks."""
     for batch in batches:
         for part, buf, at in T.chunks(batch):
-            given = part.column("place")
+            given = part.column("blocks")
             counts = np.diff(given.offsets.to_numpy()) if len(given) else np.zeros(0, np.int64)
+            if given.null_count:
+                counts = np.where(given.is_null().to_numpy(zero_copy_only=False), 0, counts)
             if not counts.sum():
                 continue
-            w = _Words(buf, at, window, gram)
-            found = np.zeros(len(w.grams), bool)
-            found[np.repeat(w.first[:-1], counts) + given.flatten().to_numpy()] = True
-            i = np.flatnonzero(w.inside & found[w.anchor])
-            text = np.searchsorted(w.first, i, "right") - 1
+            w = _Words(buf, at, window, window)
+            block = given.flatten()
+            many = block.field("n").to_numpy().astype(np.int64)
+            text = np.repeat(np.arange(part.num_rows), counts)
+            begin = w.first[text] + block.field("at").to_numpy()
+            i = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+            text = np.repeat(text, many)
+            one, two = _window_hashes(w, window)
             take = pa.array(text)
-            second = T.gram_hashes(T.mix(w.hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), window)[i]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(T.gram_hashes(w.hashes, window)[i].view(np.int64)),
-                    pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                    part.column("doc_id").take(take),
-                    part.column("rk").take(take),
-                    pa.array((i - w.first[text]).astype(np.int32)),
-                ],
-                names=["w1", "w2", "doc_id", "rk", "at"],
+                [pa.array(one[i].view(np.int64)), _high(two[i]), part.column("doc_id").take(take), part.column("rk").take(take), pa.array((i - w.first[text]).astype(np.int32)), pa.array(np.repeat(block.field("weight").to_numpy(), many))],
+                names=["w1", "w2", "doc_id", "rk", "at", "weight"],
             )
 
 
-def _without(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, buf, at in T.chunks(batch):
             starts, ends, first = T.words(buf, at)
-            given = part.column("at").to_pylist()
+            given = part.column("spans").to_pylist()
             kept, removed = [], []
-            for d, places in enumerate(given):
+            for d, spans in enumerate(given):
                 a, b = int(first[d]), int(first[d + 1])
-                s, e = starts[a:b].tolist(), ends[a:b].tolist()
-                if places:
-                    p = np.array(places, np.int64)
-                    gone = T.cover(b - a, p, p + window).tolist()
+                if spans:
+                    s, e = starts[a:b].tolist(), ends[a:b].tolist()
+                    gone = T.cover(b - a, np.array([x["at"] for x in spans]), np.array([x["stop"] for x in spans])).tolist()
                     kept.append(b" ".join([buf[x:y].tobytes() for x, y, g in zip(s, e, gone, strict=True) if not g]))
                     removed.append(sum(gone))
                 else:
@@ -135,7 +172,7 @@ class FingerprintIndex:
 
     def fingerprints(self, docs: DataFrame) -> DataFrame:
         kind = docs.schema["doc_id"].dataType.simpleString()
-        return docs.mapInArrow(partial(_fingerprints, window=self.window, gram=self.gram), f"fp bigint, doc_id {kind}, rk int, place int")
+        return docs.mapInArrow(partial(_fingerprints, window=self.window, gram=self.gram), f"fp bigint, b1 bigint, b2 int, doc_id {kind}, rk int, at int, n int")
 
     def history(self, schema) -> DataFrame | None:
         return reduce(DataFrame.unionByName, [self._read(p, schema) for _, p in self.runs]) if self.runs else None
@@ -184,12 +221,23 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, gram: int = 8, batches:
     kind = rows.schema["doc_id"].dataType.simpleString()
     for k in range(batches):
         index.add(rows if batches == 1 else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
-    schema = index.fingerprints(rows).schema
-    found = by_row(index.repeated(schema), "place")
-    windows = with_places(rows, found, ["place"]).mapInArrow(partial(_candidates, window=window, gram=index.gram), f"w1 bigint, w2 int, doc_id {kind}, rk int, at int")
-    twice = by_row(repeated(windows, ["w1", "w2"]), "at")
+    found = written(index.repeated(index.fingerprints(rows).schema).drop("copies"), "repeated")
+    block = ["fp", "b1", "b2"]
+    tally = found.groupBy(*block).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "rk", "at", "n")).alias("one"))
+    counted = found.join(tally.select(*block, "c"), block)
+    stop = lambda n: (F.col("at") + n - 1 + window).alias("stop")
+    whole_blocks = counted.where("c > 1").select(*KEY, "at", stop(F.col("n")))
+    # where a fingerprint has a block that is found once, its windows may still be those of other blocks
+    single = tally.groupBy("fp").agg(F.min("c").alias("least")).where("least = 1").select("fp")
+    lone = counted.where("c = 1").select(*KEY, F.struct("at", "n", F.lit(1).alias("weight")).alias("blocks"))
+    witness = tally.where("c > 1").join(single, "fp").select("one.doc_id", "one.rk", F.struct("one.at", "one.n", F.lit(2).alias("weight")).alias("blocks"))
+    asked = by_row(lone.unionByName(witness), "blocks")
+    windows = with_places(rows, asked, ["blocks"]).mapInArrow(partial(_candidates, window=window), f"w1 bigint, w2 int, doc_id {kind}, rk int, at int, weight int")
+    often = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("copies")).where("copies > 1")
+    lone_windows = windows.where("weight = 1").join(often, ["w1", "w2"]).select(*KEY, "at", stop(F.lit(1)))
+    twice = by_row(whole_blocks.unionByName(lone_windows).select(*KEY, F.struct("at", "stop").alias("spans")), "spans")
     more = f", row {whole.schema['row'].dataType.simpleString()}" if carry else ""
-    return with_places(whole, twice, ["at"]).mapInArrow(partial(_without, window=window), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string, text string{more}")
+    return with_places(whole, twice, ["spans"]).mapInArrow(_without, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string, text string{more}")
 
 
 def repeats_report(docs: DataFrame, *, window: int) -> DataFrame:
