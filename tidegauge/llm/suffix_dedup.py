@@ -3,7 +3,7 @@
 Every string of ``length`` bytes holds a least ``gram``-byte run by hash: its
 anchor.  Equal strings have equal anchors at equal places, so suffixes need
 sorting only where anchors are, and only among anchors of equal hash that
-occur twice.  For each such group the suffixes at the anchors are sorted, their
+occur twice, and whose surroundings as a whole don't.  For each such group the suffixes at the anchors are sorted, their
 common prefixes taken, and the tree of common-prefix intervals is scanned with
 a stack.  An interval is a set of occurrences with a longest common extension
 to the right; the same scan over its occurrences' left extensions parts them
@@ -74,17 +74,28 @@ def anchors(buf: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nda
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, buf, at in T.chunks(batch):
-            texts, places, values = [], [], []
+            texts, places, values, blocks, left, right = [], [], [], [], [], []
             for d in np.flatnonzero(np.diff(at) >= length).tolist():
-                p, v = anchors(buf[at[d] : at[d + 1]], length, gram)
+                raw = buf[at[d] : at[d + 1]]
+                p, v = anchors(raw, length, gram)
+                a, b = np.maximum(p - (length - gram), 0), np.minimum(p + length, len(raw))
                 texts.append(np.full(len(p), d))
                 places.append(p)
                 values.append(v)
+                left.append(p - a)
+                right.append(b - p)
+                blocks.append(T.mix(T.Spans(raw)(a, b) + (p - a).astype(np.uint64)))
             if texts:
                 take = pa.array(np.concatenate(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(values).view(np.int64)), part.column("doc_id").take(take), part.column("rk").take(take), pa.array(np.concatenate(places).astype(np.int32))],
-                    names=["fp", "doc_id", "rk", "place"],
+                    [
+                        pa.array(np.concatenate(values).view(np.int64)),
+                        pa.array(np.concatenate(blocks).view(np.int64)),
+                        part.column("doc_id").take(take),
+                        part.column("rk").take(take),
+                        *[pa.array(np.concatenate(x).astype(np.int32)) for x in (places, left, right)],
+                    ],
+                    names=["fp", "block", "doc_id", "rk", "place", "lft", "rgt"],
                 )
 
 
@@ -94,7 +105,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
     for batch in batches:
         for part, buf, at in T.chunks(batch):
             given = part.column("places").to_pylist()
-            texts, places, fps, hot, left, right = [], [], [], [], [], []
+            texts, places, fps, left, right = [], [], [], [], []
             for d, rows in enumerate(given):
                 if not rows:
                     continue
@@ -104,14 +115,13 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
                     texts.append(d)
                     places.append(p)
                     fps.append(r["fp"])
-                    hot.append(r["hot"])
                     left.append(raw[max(0, p - reach) : p])
                     right.append(raw[p : p + length])
             if texts:
                 take = pa.array(texts, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(fps, pa.int64()), part.column("doc_id").take(take), part.column("rk").take(take), pa.array(places, pa.int32()), pa.array(hot, pa.bool_()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-                    names=["fp", "doc_id", "rk", "place", "hot", "lft", "rgt"],
+                    [pa.array(fps, pa.int64()), part.column("doc_id").take(take), part.column("rk").take(take), pa.array(places, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                    names=["fp", "doc_id", "rk", "place", "lft", "rgt"],
                 )
 
 
@@ -183,12 +193,12 @@ def _group_cover(left: list[bytes], right: list[bytes], length: int) -> list[tup
     out = [(i, len(v), len(r)) for (v, r), who in same.items() if len(who) > 1 and len(v) + len(r) >= length for i in who]
     if len(same) > 1:
         distinct, who = list(same), list(same.values())
-        best: dict[tuple[int, int], int] = {}
+        best: dict[int, tuple[int, int]] = {}  # all that covers an occurrence holds its anchor, so that it is one span
         for v, r, members in maximal_repeats([c[0] for c in distinct], [c[1] for c in distinct], length):
             for i in members:
-                if best.get((i, r), -1) < v:
-                    best[i, r] = v
-        out += [(i, v, r) for (k, r), v in best.items() for i in who[k]]
+                x, y = best.get(i, (0, 0))
+                best[i] = max(x, v), max(y, r)
+        out += [(i, v, r) for k, (v, r) in best.items() for i in who[k]]
     return out
 
 
@@ -290,22 +300,30 @@ def repeated_spans(rows: DataFrame, *, length: int, gram: int, group_limit: int
         raise ValueError("the gram must have 8 bytes or more and be no longer than the string")
     spark = rows.sparkSession
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(partial(_anchor_rows, length=length, gram=gram), f"fp bigint, doc_id {kind}, rk int, place int")
-    found = written(found, "anchors")
-    twice = repeated(found, ["fp"]).select(*KEY, F.struct("fp", "place", (F.col("copies") > group_limit).alias("hot")).alias("places"))
-    context = f"fp bigint, doc_id {kind}, rk int, place int, hot boolean, lft binary, rgt binary"
-    near = with_places(rows, by_row(twice, "places"), ["places"]).mapInArrow(partial(_contexts, length=length, gram=gram), context)
-    near = written(near, "contexts")
-    tree = near.where("NOT hot").repartition(partitions(spark), "fp").sortWithinPartitions("fp")
-    spans = tree.mapInArrow(partial(_tree_cover, length=length), f"doc_id {kind}, rk int, start int, stop int")
-    strings = near.where("hot").mapInArrow(partial(_strings, length=length), f"w1 bigint, w2 bigint, doc_id {kind}, rk int, start int")
+    found = rows.mapInArrow(partial(_anchor_rows, length=length, gram=gram), f"fp bigint, block bigint, doc_id {kind}, rk int, place int, lft int, rgt int")
+    found = written(repeated(written(found, "anchors"), ["fp"]).drop("copies"), "repeated")
+    # an anchor whose whole surroundings are found twice is covered as far as they reach; only those found once need the tree,
+    # and one of each of the others to be compared with
+    block = ["fp", "block"]
+    tally = found.groupBy(*block).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "rk", "place")).alias("one"))
+    fps = tally.groupBy("fp").agg(F.min("c").alias("least"), F.count("*").alias("members")).where("least = 1")
+    whole = found.join(tally.where("c > 1").select(*block), block).select(*KEY, (F.col("place") - F.col("lft")).alias("start"), (F.col("place") + F.col("rgt")).alias("stop"))
+    members = tally.join(fps, "fp").select("one.doc_id", "one.rk", F.struct("fp", "one.place").alias("places"), (F.col("members") > group_limit).alias("hot"))
+    members = written(members, "members")
+    context = f"fp bigint, doc_id {kind}, rk int, place int, lft binary, rgt binary"
+    near = lambda hot: with_places(rows, by_row(members.where("hot" if hot else "NOT hot"), "places"), ["places"]).mapInArrow(partial(_contexts, length=length, gram=gram), context)
+    tree = near(False).repartition(partitions(spark), "fp").sortWithinPartitions("fp")
+    spans = whole.unionByName(tree.mapInArrow(partial(_tree_cover, length=length), f"doc_id {kind}, rk int, start int, stop int"))
+    if members.where("hot").isEmpty():
+        return spans
+    strings = near(True).mapInArrow(partial(_strings, length=length), f"w1 bigint, w2 bigint, doc_id {kind}, rk int, start int")
     hot = repeated(strings.distinct(), ["w1", "w2"]).select(*KEY, "start", (F.col("start") + length).alias("stop"))
     return spans.unionByName(hot)
 
 
 def remove_repeated_strings(docs: DataFrame, make: Callable, schema: str, *, length: int, gram: int | None = None, group_limit: int = GROUP_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows, length=length, gram=gram or max(8, length // 4), group_limit=group_limit)
+    spans = repeated_spans(rows, length=length, gram=gram or max(8, length // 2), group_limit=group_limit)
     spans = by_row(spans.select(*KEY, F.struct("start", "stop").alias("spans")).distinct(), "spans")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return with_places(rows, spans, ["spans"]).mapInArrow(partial(_removal, make=make), schema.format(kind))
