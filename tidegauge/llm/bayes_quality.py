@@ -32,6 +32,8 @@ SAMPLE = 12_000
 FEATURES = 1 << 18
 #: Sample rows that must have a feature for it to have a weight.
 SUPPORT = 5
+#: Deviations by which a feature's shares in the two classes must differ: few of the buckets do by chance.
+DEVIATIONS = 4.5
 #: Most weight that a group's parent can have, in documents.
 STRONGEST = 1e6
 
@@ -68,14 +70,26 @@ class Linear:
         return total[at[1:]] - total[at[:-1]] + self.bias
 
 
+def _telling(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Features of enough rows whose shares in the two classes differ by ``DEVIATIONS`` or more."""
+    share = []
+    for value in (0, 1):
+        mine = [x for x, y in zip(sets, labels, strict=True) if y == value]
+        share.append((np.bincount(np.concatenate(mine), minlength=FEATURES), len(mine)))
+    (a, n), (b, m) = share
+    p = (a + b) / (n + m)
+    noise = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n + 1 / m))
+    return (a + b >= SUPPORT) & (np.abs(a / n - b / m) >= DEVIATIONS * noise)
+
+
 def fit(sets: list[np.ndarray], labels: np.ndarray, *, passes: int = 12, block: int = 256, rate: float = 0.2, decay: float = 1e-4) -> Linear:
     """Logistic regression by blocks with per-weight rates; the order of rows is fixed."""
     weights, seen, bias, seen_bias = np.zeros(FEATURES), np.full(FEATURES, 1e-6), 0.0, 1e-6
     if not len(sets) or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         return Linear(weights, math.log(share / (1 - share)))
-    often = np.bincount(np.concatenate(sets), minlength=FEATURES) >= SUPPORT
-    sets = [x[often[x]] for x in sets]
+    telling = _telling(sets, labels)
+    sets = [x[telling[x]] for x in sets]
     rng = np.random.default_rng(5)
     for _ in range(passes):
         order = rng.permutation(len(sets))
