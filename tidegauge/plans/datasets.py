@@ -105,7 +105,7 @@ def quaternion_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = [F.get("embedding", F.lit(k)).cast("double") for k in range(4)]
     norm = F.sqrt(sum((c * c for c in x), F.lit(0.0)))
     parts = F.array(*[F.struct(F.lit(n).alias("channel"), (c / norm).alias("v")) for n, c in zip(("qx", "qy", "qz", "qw"), x, strict=True)])
-    rows = e.select(F.concat(F.lit("turn"), F.col("label")).alias("episode_id"), (F.row_number().over(w) - 1).cast("bigint").alias("row_idx"), F.explode(parts).alias("m"))
+    rows = e.select(F.concat(F.lit("turn"), F.col("label")).alias("episode_id"), (F.row_number().over(w) - 1).cast("bigint").alias("row_idx"), parts.alias("parts")).select("episode_id", "row_idx", F.explode("parts").alias("m"))
     return rows.select("episode_id", F.lit("pose").alias("stream"), "m.channel", "row_idx", (F.col("row_idx") * 10000).alias("native"), (F.col("row_idx") / 100).alias("t"), "m.v")
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_metrics
+from . import queries_metrics, queries_scoring
 
-_MODULES = (queries_metrics,)
+_MODULES = (queries_metrics, queries_scoring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
