@@ -150,9 +150,9 @@ def change_point(df: DataFrame, keys: tuple[str, ...], order: str, value: str, l
     w = Window.partitionBy(*keys).orderBy(order)
     past, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
     x = F.col(value)
-    rows = df.select(*keys, order, F.row_number().over(w).alias("k"), F.count("*").over(whole).alias("n"), F.sum(x).over(past).alias("s"), F.sum(x * x).over(past).alias("q"), F.sum(x).over(whole).alias("S"), F.sum(x * x).over(whole).alias("Q"))
-    k, n, s, q, S, Q = (F.col(c) for c in ("k", "n", "s", "q", "S", "Q"))
-    cost = (q - s * s / k) + (Q - q - (S - s) * (S - s) / (n - k))
+    rows = df.select(*keys, order, F.row_number().over(w).alias("k"), F.count("*").over(whole).alias("n"), F.sum(x).over(past).alias("s"), F.sum(x * x).over(past).alias("q"), F.sum(x).over(whole).alias("all_s"), F.sum(x * x).over(whole).alias("all_q"))
+    k, n, s, q, all_s, all_q = (F.col(c) for c in ("k", "n", "s", "q", "all_s", "all_q"))
+    cost = (q - s * s / k) + (all_q - q - (all_s - s) * (all_s - s) / (n - k))
     rows = rows.where((k >= least) & (n - k >= least)).withColumn("cost", cost)
     best = Window.partitionBy(*keys).orderBy(F.round("cost", 9), "k")
     return rows.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(*keys, F.col("k").alias("split"), "cost")
