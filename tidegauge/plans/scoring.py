@@ -234,9 +234,9 @@ def merge_coverage(*ledgers: DataFrame) -> DataFrame:
     return out.groupBy("metric").agg(*[F.sum(s).alias(s) for s in STATES])
 
 
-def expected_coverage(metrics: DataFrame, subjects: DataFrame, results: DataFrame) -> DataFrame:
+def expected_coverage(metrics: list[str], subjects: DataFrame, results: DataFrame) -> DataFrame:
     """Every metric for every subject; what has no result is not applicable."""
-    grid = subjects.join(F.broadcast(metrics))
+    grid = subjects.withColumn("metric", F.explode(F.array(*map(F.lit, metrics))))
     keys = [k for k in SUBJECT if k in subjects.columns]
     return grid.join(results, [*keys, "metric"], "left").withColumn("availability", F.coalesce("availability", F.lit("not_applicable")))
 
