@@ -136,7 +136,7 @@ class ContextTree:
         symbol = np.arange(256)
         for bit in range(8):
             size = 1 << bit  # nodes of this level; a node has the bytes that begin with its bits
-            split = [x.reshape(len(x), size, 2, -1).sum(3) for x in (none, one, two)]
+            split = [x.reshape(len(x), size, 2, 128 >> bit).sum(3) for x in (none, one, two)]
             own = [_log_kt(x[:, :, 0], x[:, :, 1]) for x in split]
             below_one = np.zeros((256, size))
             np.add.at(below_one, last, own[2])
