@@ -467,8 +467,8 @@ def _piece_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw])))
 
 
-#: Bytes of text encoded at once: the more, the fewer distinct words of each byte.
-_CHUNK = 8 << 20
+#: Bytes of text encoded at once; the arrays over them take some 70 bytes for each.
+_CHUNK = 2 << 20
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
