@@ -47,11 +47,11 @@ class Pieces:
     dummy_prefix: bool
     squeeze: bool
 
-    @property
+    @functools.cached_property
     def longest(self) -> int:
         return max(len(x) for x, k in zip(self.strings, self.kinds, strict=True) if k in (NORMAL, USER))
 
-    @property
+    @functools.cached_property
     def unknown(self) -> int:
         return self.kinds.index(UNKNOWN)
 
