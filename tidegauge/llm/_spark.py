@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -17,11 +20,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@functools.cache
+def _local() -> str:
+    """A folder of this process, gone with it."""
+    path = tempfile.mkdtemp(prefix="tidegauge-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder of spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="tidegauge-")
+    root = root or _local()
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
