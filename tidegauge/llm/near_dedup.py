@@ -31,7 +31,7 @@ from ._spark import partitions, written
 from .components import connected_components
 
 #: Shingles that one task compares at once, 8 bytes each; larger clusters are cut.
-TASK_SHINGLES = 2_000_000
+TASK_SHINGLES = 1_000_000
 
 
 def _sets(buf: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:

@@ -263,7 +263,7 @@ class Encoder:
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for lo, hi in ((1, 4), (5, 8), (9, 16), (17, 32)):
             k = np.flatnonzero((size >= lo) & (size <= hi))
-            for block in np.array_split(k, 1 + (len(k) * (hi + 1) * (min(hi, self.pieces.longest) + 1) >> 22)):
+            for block in np.array_split(k, 1 + (len(k) * (hi + 1) * (min(hi, self.pieces.longest) + 1) >> 21)):
                 if len(block):
                     parts.append((block, *self._fold(buf, spans, first, begin[block], size[block])))
         for w in np.flatnonzero(size > 32).tolist():
@@ -468,7 +468,7 @@ def _piece_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of text encoded at once; the arrays over them take some 70 bytes for each.
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
