@@ -1,11 +1,12 @@
 """Language-model scores by context-tree weighting over bytes.
 
 A byte is eight binary decisions; each decision has a tree of contexts of the
-last 0, 1 and 2 bytes, with a Krichevsky-Trofimov estimator in each node.  A
+last 0 to ``depth`` bytes, with a Krichevsky-Trofimov estimator in each node.  A
 node's weighted probability is half its own estimate and half the product of
 its children's, so all depths are mixed by how well they explained the training
-texts.  Depth 2 is the greatest whose table has a bound that no corpus exceeds:
-65,536 contexts of 256 bytes, 64 MB.
+texts.  Up to depth 2 the table goes to the tasks: 65,536 contexts of 256 bytes,
+64 MB.  Deeper contexts are a table that grows with the corpus and meets the
+contexts of the texts in joins (``context_nodes``).
 
 Beside it stands a unigram base over words with add-one smoothing.  Words of a
 share of 2**-20 of all tokens or more, at most 2**20 of them, go to the tasks;
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from . import context_nodes as C
 from ._places import keyed
 from ._spark import written
 
@@ -198,7 +200,7 @@ def _rare_words(batches: Iterator[pa.RecordBatch], common: _Common) -> Iterator[
             )
 
 
-def _score(batches: Iterator[pa.RecordBatch], common: _Common, tree: ContextTree) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], common: _Common, tree: ContextTree | C.Answers) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, buf, at in T.chunks(batch):
             hashes, first = _lower_words(buf, at)
@@ -220,15 +222,22 @@ def _score(batches: Iterator[pa.RecordBatch], common: _Common, tree: ContextTree
             )
 
 
-def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _score_blocks(batches: Iterator[pa.RecordBatch], common: _Common, depth: int) -> Iterator[pa.RecordBatch]:
+    for part, answers in C.answered(batches, depth):
+        yield from _score(iter([part]), common, answers)
+
+
+def lm_scores(docs: DataFrame, *, depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Models learn from the texts not held out.  A null text is empty: its one
     token is the end, its score 0 and its bits per byte 0.  Rows that repeat
     another count again.  Without training texts the base is of no counts, and
     each binary decision has probability one half.  Words are known by a 64-bit
-    hash.
+    hash.  Contexts have up to ``depth`` bytes, 2 to 7.
     """
+    if not 2 <= depth <= 7:
+        raise ValueError(f"depth must be 2 to 7, not {depth}")
     rows = keyed(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     train = rows.where(~held_out(F.col("doc_id"))).select("text")
@@ -237,8 +246,6 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     end = int(END)
     top = counts.where((F.col("c") * COMMON >= total) | (F.col("word") == end)).toArrow()
     common = _Common(top.column("word").to_numpy().view(np.uint64), top.column("c").to_numpy())
-    triples = train.mapInArrow(_count_bytes, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    tree = ContextTree(triples.column("code").to_numpy().astype(np.int64), triples.column("n").to_numpy())
 
     rare = rows.mapInArrow(partial(_rare_words, common=common), f"doc_id {kind}, rk int, word bigint, n int, ends boolean")
     ends = F.col("ends")
@@ -249,7 +256,14 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     )
     known = known.select(F.col("doc_id").alias("p_id"), F.col("rk").alias("p_rk"), (F.col("rare_known") / F.col("times")).cast("bigint").alias("rare_known"), (F.col("rare_log") / F.col("times")).alias("rare_log"))
     end_count = int(counts.where(F.col("word") == end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    scored = rows.mapInArrow(partial(_score, common=common, tree=tree), f"doc_id {kind}, rk int, n_tokens bigint, known bigint, log double, score double, bits_per_byte double")
+    columns = f"doc_id {kind}, rk int, n_tokens bigint, known bigint, log double, score double, bits_per_byte double"
+    if depth == 2:
+        triples = train.mapInArrow(_count_bytes, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+        tree = ContextTree(triples.column("code").to_numpy().astype(np.int64), triples.column("n").to_numpy())
+        scored = rows.mapInArrow(partial(_score, common=common, tree=tree), columns)
+    else:
+        blocks = C.asked_and_answered(rows.withColumn("held", held_out(F.col("doc_id"))), depth, _log_kt)
+        scored = blocks.mapInArrow(partial(_score_blocks, common=common, depth=depth), columns)
     both = scored.join(known, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("rk") == F.col("p_rk")), "left")
     log = F.col("log") + F.coalesce("rare_log", F.lit(0.0)) + math.log10(end_count + 1)
     return both.select(
