@@ -140,13 +140,13 @@ def entropy(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 def effective_dimensions(vectors: DataFrame, group: str = "label") -> DataFrame:
     """trace(C)**2 / |C|**2 of the covariance: the eigenvalues' own measure without finding them."""
-    dims = vectors.select(F.max(F.size("x"))).first()[0] or 0
-    x = [F.get("x", F.lit(k)) for k in range(dims)]
-    diagonal = [F.covar_samp(x[i], x[i]) for i in range(dims)]
-    other = [F.covar_samp(x[i], x[j]) for i in range(dims) for j in range(i)]
-    trace = sum(diagonal[1:], diagonal[0])
-    norm = sum((d * d for d in diagonal), F.lit(0.0)) + sum((2 * c * c for c in other), F.lit(0.0))
-    return vectors.groupBy(group).agg((trace * trace / norm).alias("dimensions"))
+    place = F.sequence(F.lit(0), F.size("x") - 1)
+    pairs = F.flatten(F.transform(place, lambda i: F.transform(F.sequence(F.lit(0), i), lambda j: F.struct(i.alias("i"), j.alias("j"), F.get("x", i).alias("a"), F.get("x", j).alias("b")))))
+    p = vectors.select(group, F.explode_outer(F.when(F.size("x") > 0, pairs)).alias("p")).select(group, "p.*")
+    c = p.groupBy(group, "i", "j").agg(F.covar_samp("a", "b").alias("c"))
+    trace = F.sum(F.when(F.col("i") == F.col("j"), F.col("c")))
+    norm = F.sum(F.when(F.col("i") == F.col("j"), 1).otherwise(2) * F.col("c") * F.col("c"))
+    return c.groupBy(group).agg((trace * trace / norm).alias("dimensions"))
 
 
 def cohort_outliers(values: DataFrame, keys: list[str], id_col: str, least: int = 5) -> DataFrame:

@@ -76,6 +76,11 @@ def effective_dimensions(spark, sf_dir):
     return D.rounded(H.effective_dimensions(_vectors(spark, sf_dir).withColumn("x", F.slice("x", 1, 8))), 5)
 
 
+def effective_dimensions_whole(spark, sf_dir):
+    """All components; effective_dimensions takes the first 8, as its SQL does."""
+    return D.rounded(H.effective_dimensions(_vectors(spark, sf_dir)), 5)
+
+
 def cohort_outliers(spark, sf_dir):
     s = D.table(spark, sf_dir, "lineitem").select("l_linenumber", F.col("l_suppkey").alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in ("l_quantity", "l_extendedprice", "l_discount")])).alias("f"))
     s = s.groupBy("l_linenumber", "id", "f.feature").agg(F.round(F.avg("f.x"), 6).alias("x"))
@@ -225,6 +230,7 @@ QUERIES = {
         cohort_histogram,
         cohort_entropy,
         effective_dimensions,
+        effective_dimensions_whole,
         cohort_outliers,
         session_bootstrap,
         camera_pairs,
@@ -265,6 +271,7 @@ SELECT event_type, event_id, CASE WHEN value / others < 0.25 THEN 'low' ELSE 'hi
     "cohort_histogram": f"WITH {_HIST} SELECT * FROM h",
     "cohort_entropy": f"WITH {_HIST}, t AS (SELECT event_type, sum(n) AS t FROM h WHERE bin >= 0 GROUP BY 1) SELECT event_type, round(-sum(n / t * ln(n / t)), 6) AS entropy FROM h JOIN t USING (event_type) WHERE bin >= 0 GROUP BY 1",
     "effective_dimensions": f"WITH {_V}, c AS (SELECT label, i, j, covar_samp(x[i], x[j]) AS c FROM v, range(1, 9) a(i), range(1, 9) b(j) GROUP BY ALL) SELECT label, round(pow(sum(c) FILTER (i = j), 2) / sum(c * c), 5) AS dimensions FROM c GROUP BY 1",
+    "effective_dimensions_whole": f"WITH {_V}, c AS (SELECT label, i, j, covar_samp(x[i], x[j]) AS c FROM v, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL) SELECT label, round(pow(sum(c) FILTER (i = j), 2) / sum(c * c), 5) AS dimensions FROM c GROUP BY 1",
     "cohort_outliers": """WITH s AS (SELECT l_linenumber, l_suppkey AS id, f.n AS feature, round(avg(f.x), 6) AS x FROM (SELECT l_linenumber, l_suppkey, unnest([{'n': 'l_quantity', 'x': l_quantity}, {'n': 'l_extendedprice', 'x': l_extendedprice}, {'n': 'l_discount', 'x': l_discount}]) AS f FROM lineitem) GROUP BY ALL),
 m AS (SELECT l_linenumber, feature, median(x) AS m, count(*) AS n FROM s GROUP BY ALL), d AS (SELECT s.*, m, n, abs(x - m) AS d FROM s JOIN m USING (l_linenumber, feature)), a AS (SELECT l_linenumber, feature, median(d) AS mad FROM d GROUP BY ALL)
 SELECT l_linenumber, id, round(sqrt(avg(pow((x - m) / (1.4826 * mad), 2))), 4) AS distance FROM d JOIN a USING (l_linenumber, feature) WHERE mad > 0 AND n >= 5 GROUP BY ALL""",
