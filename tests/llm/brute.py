@@ -65,8 +65,10 @@ def components(docs: list[tuple[object, str | None]], words: int, percent: int)
                 root[find(i)] = find(j)
     least: dict[int, list] = defaultdict(list)
     for i, (d, _) in enumerate(docs):
-        least[find(i)].append(d)
-    return [(d, len(sets[i]), min(least[find(i)]), d == min(least[find(i)])) for i, (d, _) in enumerate(docs)]
+        if d is not None:
+            least[find(i)].append(d)
+    best = [min(least[find(i)], default=None) for i in range(len(docs))]
+    return [(d, len(sets[i]), best[i], None if d is None else d == best[i]) for i, (d, _) in enumerate(docs)]
 
 
 def held_out(i: object) -> bool:

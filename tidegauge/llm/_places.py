@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import written
+
 KEY = ("doc_id", "rk")
 
 
@@ -22,19 +24,20 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] =
     return docs.select(F.col(id_col).alias("doc_id"), F.hash(text).alias("rk"), text.alias("text"), *packed(carry))
 
 
-def with_places(docs: DataFrame, places: DataFrame, columns: list[str]) -> DataFrame:
-    """Keyed docs with the places of their key, null where there are none."""
+def with_places(docs: DataFrame, places: DataFrame, columns: list[str], how: str = "left") -> DataFrame:
+    """Keyed docs with the places of their key, null where there are none (how: left) or only those that have some (inner)."""
     p = places.select(F.col("doc_id").alias("p_id"), F.col("rk").alias("p_rk"), *columns)
-    return docs.join(p, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("rk") == F.col("p_rk")), "left").select(*docs.columns, *columns)
+    return docs.join(p, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("rk") == F.col("p_rk")), how).select(*docs.columns, *columns)
 
 
 def repeated(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
     """The rows whose keys at least so many rows hold.
 
-    Counts are partial sums before the shuffle; joined back, a key held by very
-    many rows stands against one row, so Spark can split it.
+    Counts are partial sums before the shuffle.  They are a table of their own,
+    so that both sides of the join have a plain exchange and Spark can split a
+    key held by very many rows.
     """
-    often = rows.groupBy(*keys).agg(F.count("*").alias("copies")).where(F.col("copies") >= least)
+    often = written(rows.groupBy(*keys).agg(F.count("*").alias("copies")).where(F.col("copies") >= least), "often")
     return rows.join(often, keys)
 
 

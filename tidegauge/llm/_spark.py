@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import shutil
 import tempfile
 import uuid
@@ -29,8 +30,14 @@ def _local() -> str:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
+    """A new path in the shared folder of spark.checkpoint.dir.
+
+    Where that is unset, a folder of this process serves a session that runs in
+    it, as in tests; on a cluster that is an error, for executors share no folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     root = root or _local()
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
@@ -40,14 +47,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidegauge_path = path
+    return out
 
 
-def remove(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the table that ``written`` made."""
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def removed(df: DataFrame) -> None:
+    """Deletes a table that ``written`` made and that no frame reads any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._tidegauge_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:

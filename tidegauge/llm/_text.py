@@ -8,6 +8,7 @@ No function loops over bytes or words in Python.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,6 +89,24 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[at[0] : at[-1]], at - at[0]
 
 
+def _trimmer():
+    """What returns freed memory to the system; nothing where the C library can't."""
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda: None
+    return lambda: trim(0)
+
+
+_trim = _trimmer()
+
+
+def release() -> None:
+    """Gives back what the arrays of a batch took: a worker that waits for its next task holds none of it."""
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
 def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batch with the bytes and offsets of their texts."""
     if not batch.num_rows:
@@ -99,6 +118,7 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         j = min(j, batch.num_rows)
         yield batch.slice(i, j - i), buf[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    release()
 
 
 def words(buf: np.ndarray, at: np.ndarray, table: np.ndarray = SPACE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

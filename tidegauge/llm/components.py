@@ -5,35 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import written
-
-
-def _minima(edges: DataFrame, own: bool) -> DataFrame:
-    """For each u the least of its neighbours (and itself if own)."""
-    least = F.min("v")
-    return edges.groupBy("u").agg((F.least(F.col("u"), least) if own else least).alias("m"))
+from ._spark import removed, written
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with a link to another; the component is its least node.
 
-    Large-star and small-star steps in turn (Kiveris et al., 2014), as grouped
-    minima joined back to the links: a node with very many links is a minimum
-    with a partial aggregate and a join that Spark can split, not a list.
-    Each round is cut by a table in the shared folder.
+    Large-star and small-star steps in turn (Kiveris et al., 2014) on links
+    (u, v) with u > v.  ``low`` is the least of each u's lower neighbours; a node
+    without lower neighbours is its own.  The large star hangs every u on its v's
+    low, the small star on the least of what that leaves.  The low of a node is
+    a table of its own, so that Spark can split the rows of a v with very many
+    links: they stand against one row, or, where all hang on a root, none.
+    Null links are left out; repeated ones count once.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} <> {b}").distinct()
     edges = written(edges, "links")
-    state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_minima(both, True), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = _minima(large, False)
-        small = large.join(least, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "links")
-        now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.count_distinct("v")).first())
-        if now == state:
+        low = written(edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")), "low")
+        known = low.select(F.col("u").alias("v"), "low")
+        if low.where("n > 1").isEmpty() and edges.join(known, "v", "left_semi").isEmpty():
+            removed(low)
             roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-        state = now
+        large = edges.join(known, "v", "left").select("u", F.coalesce("low", "v").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        removed(low)
+        removed(edges)
+        edges = new

@@ -17,14 +17,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
 from ._places import packed
+from ._spark import written
 
 #: Bytes of item texts in one block of the index.
 BLOCK_BYTES = 8 << 20
@@ -161,21 +164,16 @@ def _match(index: Windows, part: pa.RecordBatch, buf: np.ndarray, at: np.ndarray
     )
 
 
-def _blocks(items: DataFrame, window: int) -> Iterator[Windows]:
+def _blocks(items: DataFrame, window: int) -> tuple[int, Iterator[Windows]]:
+    """How many blocks, one at least, and the blocks, each made when it is asked for."""
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield Windows([(r[0], r[1]) for r in part.collect()], window)
+    n = max(1, -(-size // BLOCK_BYTES))
+    part = lambda b: items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+    return n, (Windows([(r[0], r[1]) for r in part(b).collect()], window) for b in range(n))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, window: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Item windows that occur in texts: doc_id, text, spans (int64 pairs of word places, packed), items (ids as sorted strings), n_words, and a struct ``row`` of the columns to carry, if any.
-
-    One row for each row of docs, repeated ids and rows included.  A null or
-    empty text has no words; a null or empty item has no window; a null item id
-    is the string ``null``.  Other columns are left out, whatever their names.
-    """
+def _leaks(docs: DataFrame, items: DataFrame, finish=None, schema: str = "", *, window: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """find_leaks, with what comes after the last pass in the same Python worker: finish, a step on batches, and its schema."""
     kind = docs.schema[id_col].dataType.simpleString()
     hits = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *packed(carry))
     wanted = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item_id"), F.col(item_text).alias("text"))
@@ -183,17 +181,36 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, window: int = 8, id_col: st
     more = f", row {hits.schema['row'].dataType.simpleString()}" if carry else ""
     row = ["row"] if carry else []
     hits = hits.select("doc_id", "text", F.lit(b"").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("n_words"), *row)
-    schema = _HITS.format(kind, more)
-    blocks = list(_blocks(wanted, window)) or [Windows([], window)]
-    for index in blocks:
+    found = _HITS.format(kind, more)
+    n, blocks = _blocks(wanted, window)
+    for k, index in enumerate(blocks):
         counts = np.zeros(len(index.vocabulary), np.int64)
         if len(counts):  # at most a row for each word of the block
             for r in texts.mapInArrow(_counter(index.vocabulary), "code bigint, n bigint").groupBy("code").agg(F.sum("n")).collect():
                 counts[r[0]] = r[1]
-        hits = hits.mapInArrow(_matcher(index.ordered(counts)), schema)
+        match = _matcher(index.ordered(counts))
+        if k < n - 1:  # written, so that the driver and the tasks hold one block of the index at a time
+            hits = written(hits.mapInArrow(match, found), "hits")
+        else:
+            hits = hits.mapInArrow(_then(match, finish) if finish else match, schema.format(kind, more) if finish else found)
     return hits
 
 
+def _then(first, second):
+    return lambda batches: second(first(batches))
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """Item windows that occur in texts: doc_id, text, spans (int64 pairs of word places, packed), items (ids as sorted strings), n_words, and a struct ``row`` of the columns to carry, if any.
+
+    One row for each row of docs, repeated ids and rows included.  A null or
+    empty text has no words; a null or empty item has no window; a null item id
+    is the string ``null``.  Other columns are left out, whatever their names.
+    Options: window, the names of the columns, and carry.
+    """
+    return _leaks(docs, items, **options)
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hit, number, digest = [], [], []
@@ -209,14 +226,17 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, *, window: int = 8) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit (words in any occurring window), n_items, items_sha256, contaminated (two items or more)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = find_leaks(docs, items, window=window).select("doc_id", "spans", "items", "n_words")
-    return found.mapInArrow(_digest, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    """Per row of docs: doc_id, n_words, n_hit (words in any occurring window), n_items, items_sha256, contaminated (two items or more).
+
+    Nulls, empties and repeats as in find_leaks: a null text has no words and no hits.
+    """
+    schema = "doc_id {0}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+    return _leaks(docs, items, _digest, schema, window=window)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        batch = batch.filter(pc.less_equal(pc.list_value_length(batch.column("items")), most))
         out = []
         for text, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             if s:
@@ -234,8 +254,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array(out, pa.string()), "items": batch.column("items"), **({"row": batch.column("row")} if "row" in batch.schema.names else {})})
 
 
-def without_leaks(leaks: DataFrame) -> DataFrame:
-    """Rows of find_leaks as doc_id, text without the words of occurring windows and what stands between them, items, and ``row`` if carried."""
-    order = [n for n in ("doc_id", "text", "items", "row") if n in leaks.columns]
-    schema = ", ".join(f"{n} {leaks.schema[n].dataType.simpleString()}" for n in order)
-    return leaks.mapInArrow(_cut, schema)
+def without_leaks(docs: DataFrame, items: DataFrame, *, most: int = 1, **options) -> DataFrame:
+    """doc_id, text, items, and ``row`` if carried, of documents that hold windows of ``most`` items at most.
+
+    The words of occurring windows, and what stands between them, are cut from
+    the text.  Documents with windows of more items are left out.  Nulls, empties
+    and repeats as in find_leaks, whose options it takes.
+    """
+    return _leaks(docs, items, partial(_cut, most=most), "doc_id {0}, text string, items array<string>{1}", **options)

@@ -12,18 +12,23 @@ table a set is tied to the key's least set only; the connected sets are a
 cluster.  Within clusters links are confirmed on the full sets by an exact join
 that returns no more links than connect them: a large group of like sets never
 becomes all its pairs, and no link between sets that share a key is left out.
+
+A cluster of more shingles than a task takes is cut into cells, each set in one
+of them.  Cells are joined alone first, then one set of each part found so far;
+only if parts remain are sets of different parts compared, the largest part's
+cells with those of all others.  A large group of like sets is one part by then,
+so that each of its sets was copied once or twice, however large the group.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -86,8 +91,8 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, halves: int, rows: int)
                         bands[i] = half[k]
                         k += 1
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_key(x) for x in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "half"],
+                [part.column("doc_id"), part.column("ik"), part.column("rk"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_key(x) for x in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "ik", "rk", "n_shingles", "node", "half"],
             )
 
 
@@ -98,12 +103,37 @@ def _full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
             keys = [_key(x) for x in sets]
             ok = [i for i, (k, n) in enumerate(zip(keys, part.column("node").to_pylist(), strict=True)) if k == n]
             take = pa.array(ok, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("node").take(take), part.column("component").take(take), part.column("tasks").take(take), pa.array([sets[i].tobytes() for i in ok], pa.binary())], names=["node", "component", "tasks", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("node").take(take), part.column("cluster").take(take), pa.array([len(sets[i]) for i in ok], pa.int64()), pa.array([sets[i].tobytes() for i in ok], pa.binary())], names=["node", "cluster", "n", "shingles"])
+
+
+class _Parts:
+    """Sets joined so far; the smaller part is renamed when two join."""
+
+    def __init__(self, names: np.ndarray) -> None:
+        self.root = names.copy()
+        order = np.argsort(names, kind="stable")
+        edge = np.flatnonzero(np.diff(names[order])) + 1
+        self.members = {int(names[x[0]]): [x] for x in np.split(order, edge)}
+        self.size = {r: len(x[0]) for r, x in self.members.items()}
 
+    def join(self, x: int, y: int) -> bool:
+        a, b = int(self.root[x]), int(self.root[y])
+        if a == b:
+            return False
+        if self.size[a] < self.size[b]:
+            a, b = b, a
+        for block in self.members[b]:
+            self.root[block] = a
+        self.members[a] += self.members.pop(b)
+        self.size[a] += self.size.pop(b)
+        return True
 
-def join_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+
+def join_sets(sets: list[np.ndarray], percent: int, parts: list | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that connect just what all pairs with 100 * intersection >= percent * union connect.
 
+    parts: names of sets that are connected already, if any are.
+
     A prefix-filtered join: tokens in order of rarity, sets in order of size.  A
     set is compared, in full, only with smaller ones that share a token of its
     prefix and are not yet connected with it; so a group of like sets costs
@@ -126,7 +156,9 @@ def join_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     posted = np.argsort(words, kind="stable")
     texts = texts[posted]
     begin = np.searchsorted(words[posted], np.arange(len(token) + 1))
-    root = np.arange(n)
+    names = np.arange(n) if parts is None else np.unique(parts, return_inverse=True)[1]
+    joined = _Parts(names[order])
+    root = joined.root
     mark = np.zeros(len(token), bool)
     links = []
     for x in range(1, n):
@@ -145,90 +177,155 @@ def join_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         same = np.add.reduceat(mark[flat[places]].astype(np.int64), np.cumsum(many) - many)
         mark[mine] = False
         for y in near[100 * same >= percent * (size[x] + many - same)].tolist():
-            if root[y] != root[x]:
+            if joined.join(x, y):
                 links.append((int(order[x]), int(order[y])))
-                root[root == root[y]] = root[x]
     return links
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
-    """Nodes and sets of each task, from rows sorted by task; a node that comes twice is taken once."""
-    task, seen = None, {}
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[np.ndarray], list[bytes]]]:
+    """Nodes, sets and parts of each task, from rows sorted by task; a node that comes twice is taken once."""
+    task, seen, parts = None, {}, []
     for batch in batches:
-        names, nodes = batch.column("task").to_pylist(), batch.column("node").to_pylist()
+        names, nodes, given = (batch.column(c).to_pylist() for c in ("task", "node", "part"))
         raw, at = T.byte_view(batch.column("shingles"))
         for k, name in enumerate(names):
             if name != task:
                 if len(seen) > 1:
-                    yield list(seen), list(seen.values())
-                task, seen = name, {}
+                    yield list(seen), list(seen.values()), parts
+                task, seen, parts = name, {}, []
             if nodes[k] not in seen:
                 seen[nodes[k]] = raw[at[k] : at[k + 1]].view(np.uint64)
+                parts.append(given[k])
     if len(seen) > 1:
-        yield list(seen), list(seen.values())
+        yield list(seen), list(seen.values()), parts
+    T.release()
 
 
 def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for nodes, sets in _groups(batches):
-        found = join_sets(sets, percent)
+    for nodes, sets, parts in _groups(batches):
+        found = join_sets(sets, percent, parts)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.binary()), pa.array([nodes[j] for _, j in found], pa.binary())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, halves: int = 8, rows: int = 2, task_shingles: int = TASK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (least doc_id reachable by links), kept (doc_id = component_id).
+def _tied(sets: DataFrame, percent: int) -> DataFrame:
+    """Links within each task of (task, node, part, shingles)."""
+    dealt = sets.select("task", "node", "part", "shingles").repartition(partitions(sets.sparkSession), "task").sortWithinPartitions("task")
+    return dealt.mapInArrow(partial(_links, percent=percent), "a binary, b binary")
 
-    A link joins documents whose sets of shingles of ``words`` words have
-    100 * intersection >= percent * union.  A text of fewer words is one shingle;
-    a null, empty or blank text has none, is linked with nothing and kept.
-    Rows that repeat a doc_id stay, each with its own set; a null id is no
-    component's least, and its ``kept`` is null.
+
+def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """Two 64-bit hashes, of id and text, that tell rows apart; never null, so that rows without an id join like others."""
+    return {"ik": F.xxhash64(id_col), "rk": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
+
+
+def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80, halves: int = 8, rows: int = 2, task_shingles: int = TASK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, ik, rk (row_keys), n_shingles, component_id, and stays: whether the row is its group's one.
+
+    Of a group the row of least id, then of least keys, stays; rows with an id
+    before those without.  A row without shingles is a group of its own.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = base.mapInArrow(partial(_sign, size=words, halves=halves, rows=rows), f"doc_id {kind}, n_shingles bigint, node binary, half array<bigint>")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumns(row_keys(docs, "doc_id", "text"))
+    signed = base.mapInArrow(partial(_sign, size=words, halves=halves, rows=rows), f"doc_id {kind}, ik bigint, rk bigint, n_shingles bigint, node binary, half array<bigint>")
     signed = written(signed, "signatures")
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("half").alias("half"))
+    one = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "ik", "rk")
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min(one).alias("one"), F.count("*").alias("copies"), F.first("half").alias("half"))
 
     pairs = F.array(*[F.xxhash64(F.get("half", F.lit(i)), F.get("half", F.lit(halves + j)), F.lit(i * halves + j)) for i in range(halves) for j in range(halves)])
     keys = nodes.select("node", F.explode(pairs).alias("key"))
     leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = keys.join(leaders, "key").where("node <> leader").select("leader", "node").distinct()
-    clusters = connected_components(met, "leader", "node")
-    links = written(_confirmed(base, nodes, clusters, words, percent, task_shingles), "links")
-    parts = connected_components(links)
+    clusters = connected_components(met, "leader", "node").withColumnRenamed("component", "cluster")
+    firsts = written(nodes.select("node", "one", "copies"), "nodes")
+    parts = _confirmed(base, firsts, clusters, words, percent, task_shingles)
+
+    # a node that has neither a link nor a copy stands for itself and needs no row here
+    known = firsts.join(parts, "node", "left").where("copies > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
+    known = written(known.select("node", "component", "one"), "members")
+    winners = written(known.groupBy("component").agg(F.min("one").alias("win")), "winners")
+    named = written(known.join(winners, "component").select("node", "win"), "named")
+    out = signed.drop("half").join(named, "node", "left")
+    alone = F.col("win").isNull()
+    stays = alone | ((F.col("ik") == F.col("win.ik")) & (F.col("rk") == F.col("win.rk")))
+    return out.select("doc_id", "ik", "rk", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("win.doc_id")).alias("component_id"), stays.alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (least doc_id reachable by links), kept (doc_id = component_id).
 
-    members = signed.select("doc_id", "n_shingles", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = members.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = members.join(least, "component", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    A link joins documents whose sets of shingles of ``words`` words have
+    100 * intersection >= percent * union.  A text of fewer words is one shingle;
+    a null, empty or blank text has none, is linked with nothing and kept.
+    Rows that repeat a doc_id stay, each with its own set.  A row without an id
+    links like any other; a null is no component's least, and its ``kept`` is
+    null.  Options: those of near_groups.
+    """
+    return near_groups(docs, **options).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def _confirmed(base: DataFrame, nodes: DataFrame, clusters: DataFrame, words: int, percent: int, task_shingles: int) -> DataFrame:
-    """Links by full sets between any two sets of a cluster, as many as connect what is connected.
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: near_groups tells which.
 
-    A cluster of up to ``task_shingles`` is one task.  A larger one is cut into
-    cells by class of size, where sets of like size are in the same class or the
-    next, and by a salt; each two cells of a class or of neighbouring ones are a
-    task, so that every pair that can be alike meets.
+    Rows equal in id and text are one document and leave one row, empty ones too.
     """
-    sized = clusters.join(nodes.select("node", "n", "doc_id"), "node")
-    whole = sized.groupBy("component").agg(F.ceil(F.sum("n") / task_shingles).cast("int").alias("cells"))
-    rung = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
-    placed = sized.join(whole, "component").withColumn("rung", rung).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
-    salts = F.sequence(F.lit(0), F.col("cells") - 1)
-    name = lambda r, s, q, t: F.concat_ws(" ", r.cast("string"), s.cast("string"), q.cast("string"), t.cast("string"))
-    r, s = F.col("rung"), F.col("salt")
-    tasks = F.concat(
-        F.transform(salts, lambda t: name(r, F.least(s, t), r, F.greatest(s, t))),
-        F.transform(salts, lambda t: name(r, s, r + 1, t)),
-        F.transform(salts, lambda t: name(r - 1, t, r, s)),
+    stay = near_groups(docs, id_col=id_col, text_col=text_col, **options).where("stays").select(F.col("ik").alias("_ik"), F.col("rk").alias("_rk")).distinct()
+    keys = row_keys(docs, id_col, text_col)
+    rows = docs.withColumns({"_ik": keys["ik"], "_rk": keys["rk"]}).join(stay, ["_ik", "_rk"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("_ik", "_rk").orderBy("_rk"))
+    return rows.withColumn("_place", place).where("_place = 1").select(*docs.columns)
+
+
+def _fetched(base: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, cluster, n, shingles) of each wanted set, from one of its rows."""
+    texts = base.join(wanted, ["ik", "rk"]).select("text", "node", "cluster")
+    return texts.mapInArrow(partial(_full_sets, size=words), "node binary, cluster binary, n bigint, shingles binary")
+
+
+def _cell(node: str, cells: str):
+    return F.pmod(F.xxhash64(node), F.col(cells)).cast("int")
+
+
+def _confirmed(base: DataFrame, nodes: DataFrame, clusters: DataFrame, words: int, percent: int, task_shingles: int) -> DataFrame:
+    """(node, component) by links on full sets between any two sets of a cluster."""
+    wanted = clusters.join(nodes, "node").select("node", "cluster", "one.ik", "one.rk")
+    sets = written(_fetched(base, wanted, words), "sets")
+    cells = written(sets.groupBy("cluster").agg(F.ceil(F.sum("n") / task_shingles).cast("int").alias("cells")), "cells")
+    task = F.concat("cluster", F.when(F.col("cells") == 1, F.lit("")).otherwise(_cell("node", "cells").cast("string")).cast("binary"))
+    links = written(_tied(sets.join(cells, "cluster").select(task.alias("task"), "node", F.col("node").alias("part"), "shingles"), percent), "links")
+    parts = written(connected_components(links), "parts")
+    large = cells.where("cells > 1").select("cluster")
+    if large.isEmpty():
+        return parts
+
+    def labelled(parts: DataFrame) -> DataFrame:
+        """Sets of large clusters with the part that each is in."""
+        return sets.join(large, "cluster").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+
+    # one set of each part: what they connect is most of what there is
+    now = labelled(parts)
+    ones = now.where("node = part")
+    room = written(ones.groupBy("cluster").agg(F.ceil(F.sum("n") / task_shingles).cast("int").alias("cells")), "cells")
+    task = F.concat("cluster", _cell("node", "cells").cast("string").cast("binary"))
+    again = written(_tied(ones.join(room, "cluster").select(task.alias("task"), "node", "part", "shingles"), percent), "links")
+    links = links.unionByName(again)
+    parts = written(connected_components(links), "parts")
+
+    # what is left: sets of different parts; the largest part of a cluster against all others, and those among themselves
+    now = labelled(parts)
+    sizes = written(now.groupBy("cluster", "part").agg(F.sum("n").alias("n"), F.count("*").alias("sets")), "sizes")
+    main = written(sizes.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("of")).where("of > 1"), "main")
+    if main.isEmpty():
+        return parts
+    mixed = now.join(main.select("cluster", F.col("m.part").alias("main"), F.col("m.n").alias("most"), F.col("n").alias("all")), "cluster")
+    half = task_shingles / 2
+    mixed = mixed.withColumns({"big": F.col("part") == F.col("main"), "rows": F.ceil(F.col("most") / half).cast("int"), "cols": F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most")) / half)).cast("int")})
+    mine = F.when(F.col("big"), _cell("node", "rows")).otherwise(_cell("node", "cols"))
+    name = lambda kind, x, y: F.concat_ws(" ", F.lit(kind), x.cast("string"), y.cast("string"))
+    over = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    tasks = F.when(F.col("big"), F.transform(over("cols"), lambda y: name("m", F.col("mine"), y))).otherwise(
+        F.concat(F.transform(over("rows"), lambda x: name("m", x, F.col("mine"))), F.transform(over("cols"), lambda y: name("o", F.least(y, F.col("mine")), F.greatest(y, F.col("mine")))))
     )
-    tasks = F.when(F.col("cells") == 1, F.array(F.lit(""))).otherwise(tasks)
-    wanted = placed.select("node", F.col("doc_id"), "component", tasks.alias("tasks"))
-    texts = base.join(wanted, "doc_id").select("doc_id", "text", "node", "component", "tasks")
-    sets = texts.mapInArrow(partial(_full_sets, size=words), "node binary, component binary, tasks array<string>, shingles binary")
-    dealt = sets.select("node", "shingles", F.explode("tasks").alias("t"), "component").select("node", "shingles", F.concat("component", F.col("t").cast("binary")).alias("task"))
-    dealt = dealt.repartition(partitions(base.sparkSession), "task").sortWithinPartitions("task")
-    return dealt.mapInArrow(partial(_links, percent=percent), "a binary, b binary")
+    dealt = mixed.withColumn("mine", mine).select("cluster", "node", "part", "shingles", F.explode(tasks).alias("t"))
+    last = written(_tied(dealt.select(F.concat("cluster", F.col("t").cast("binary")).alias("task"), "node", "part", "shingles"), percent), "links")
+    return written(connected_components(links.unionByName(last)), "parts")

@@ -6,19 +6,22 @@ fingerprint and make a block: the index holds one row for some 14 words, with
 the fingerprint and a 96-bit hash of all words of the block.  Equal windows have
 equal fingerprints at equal places in them.
 
-The index is a set of runs: immutable tables sorted by fingerprint.  A new
-batch becomes a run; it is merge-joined with the earlier runs.  Blocks under
-fingerprints found twice are verified: one that is found twice as a whole is
-repeated, and of others each window is compared by a 96-bit hash of its words
-with all windows under its fingerprint.  Runs of a level are compacted into one of the next as soon as there are ``FANOUT``
-of them, so that a fingerprint is rewritten only as often as the
-index has levels.
+The index is a set of runs, immutable tables sorted by fingerprint over ranges
+of it: the blocks with their places, and the run's distinct fingerprints with
+their numbers.  A new batch becomes a run.  Its distinct fingerprints are merged
+with those of earlier runs, which tells what the batch repeats and which blocks
+of earlier texts are repeated from now on.  Those blocks are verified: one that
+is found twice as a whole is repeated, and of others each window is compared by
+a 96-bit hash of its words with all windows under its fingerprint.  Runs of a
+level are compacted into one of the next as soon as there are ``fanout`` of
+them, so that a block is rewritten only as often as the index has levels.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial, reduce
 
 import numpy as np
@@ -27,12 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._places import KEY, by_row, keyed, repeated, with_places
-from ._spark import scratch, written
+from ._places import KEY, by_row, keyed, with_places
+from ._spark import partitions, removed, scratch, written
 
 #: Runs of a level that are compacted into one of the next.
 FANOUT = 4
 
+#: Batches in which a whole table is added.
+BATCHES = 2
+
 
 class _Words:
     """Word and window hashes of a chunk."""
@@ -146,102 +152,152 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _without(batches):
         digest = [hashlib.sha256(x.encode()).hexdigest() for x in b.column("kept_text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), b.column("n_removed"), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+@dataclass(frozen=True)
+class Run:
+    """One immutable run: its level and the paths of its blocks and of its distinct fingerprints."""
+
+    level: int
+    blocks: str
+    fps: str
+
+
 class FingerprintIndex:
-    """Sorted immutable runs of window fingerprints under a folder that all executors share."""
+    """Sorted immutable runs of window fingerprints under a folder that all executors share.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, *, window: int = 50, gram: int = 8) -> None:
-        self.spark, self.path, self.window, self.gram = spark, path or scratch(spark, "fingerprints"), window, min(gram, window)
-        self.runs: list[tuple[int, str]] = []
+    ``add`` returns the blocks that a batch makes candidates, ``verified`` what
+    of candidate blocks is repeated.  Texts are told by id and a hash of the
+    text; a text that is added again is a further occurrence.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, *, window: int = 50, gram: int = 8, fanout: int = FANOUT, kind: str = "bigint") -> None:
+        self.spark, self.path, self.window, self.gram, self.fanout, self.kind = spark, path or scratch(spark, "fingerprints"), window, min(gram, window), fanout, kind
+        self.runs: list[Run] = []
         self._made = 0
+        self._blocks = f"fp bigint, b1 bigint, b2 int, doc_id {kind}, rk int, at int, n int"
+
+    def _sorted(self, rows: DataFrame, path: str) -> None:
+        rows.repartitionByRange(partitions(self.spark), "fp").sortWithinPartitions("fp").write.parquet(path)
 
-    def _write(self, rows: DataFrame, level: int) -> DataFrame:
-        path = f"{self.path}/level-{level}-run-{self._made}"
+    def _write(self, blocks: DataFrame, fps: DataFrame | None, level: int) -> Run:
+        run = Run(level, *[f"{self.path}/level-{level}-run-{self._made}-{what}" for what in ("blocks", "fps")])
         self._made += 1
-        # split at the quantiles of the fingerprints, so that a run is sorted as a whole; equal ones of a hot one lie in one file
-        rows.sortWithinPartitions("fp").write.parquet(path)
-        self.runs.append((level, path))
-        return self._read(path, rows.schema)
-
-    def _read(self, path: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(path)
-
-    def fingerprints(self, docs: DataFrame) -> DataFrame:
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        return docs.mapInArrow(partial(_fingerprints, window=self.window, gram=self.gram), f"fp bigint, b1 bigint, b2 int, doc_id {kind}, rk int, at int, n int")
-
-    def history(self, schema) -> DataFrame | None:
-        return reduce(DataFrame.unionByName, [self._read(p, schema) for _, p in self.runs]) if self.runs else None
-
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Adds a batch of keyed docs; returns the batch's fingerprints that an earlier run or another place of the batch has too."""
-        new = self.fingerprints(docs)
-        schema = new.schema
-        before = self.history(schema)
-        run = self._write(new, 0)
-        fps = run.groupBy("fp").agg(F.count("*").alias("n"))
-        if before is None:
-            hits = fps.where("n > 1").select("fp")
+        # a hot fingerprint's blocks are many rows of one value: their hash parts them among files of neighbouring ranges
+        blocks.repartitionByRange(partitions(self.spark), "fp", "b1").sortWithinPartitions("fp", "b1").write.parquet(run.blocks)
+        if fps is None:
+            fps = self.blocks([run]).groupBy("fp").agg(F.count("*").alias("n"))
+        self._sorted(fps, run.fps)
+        self.runs.append(run)
+        return run
+
+    def _read(self, schema: str, paths: list[str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(p) for p in paths])
+
+    def blocks(self, runs: list[Run] | None = None) -> DataFrame:
+        return self._read(self._blocks, [r.blocks for r in runs or self.runs])
+
+    def fingerprints(self, runs: list[Run] | None = None) -> DataFrame:
+        return self._read("fp bigint, n bigint", [r.fps for r in runs or self.runs])
+
+    def add(self, docs: DataFrame, *, again: bool = True) -> DataFrame:
+        """Adds a batch of keyed docs; returns the blocks that share a fingerprint, to be verified.
+
+        These are the batch's own, where an earlier run or another place of the
+        batch has the fingerprint too, and an earlier text's, where the batch is
+        the first to repeat it.  again: also one of each earlier block whose
+        fingerprint was found twice before, so that the batch can be verified
+        without what earlier calls returned.
+        """
+        before = list(self.runs)
+        made = docs.mapInArrow(partial(_fingerprints, window=self.window, gram=self.gram), self._blocks)
+        run = self._write(made, None, 0)
+        new = self.fingerprints([run])
+        if before:
+            old = self.fingerprints(before).groupBy("fp").agg(F.sum("n").alias("known"))
+            hits = new.join(old, "fp", "left").where("n > 1 OR known IS NOT NULL").select("fp", "known")
         else:
-            old = before.select("fp").distinct().withColumn("known", F.lit(True))
-            hits = fps.join(old, "fp", "left").where("n > 1 OR known").select("fp")
-        self._compact(schema)
-        return run.join(hits, "fp")
-
-    def _compact(self, schema) -> None:
+            hits = new.where("n > 1").select("fp", F.lit(None).cast("bigint").alias("known"))
+        hits = written(hits, "hits")
+        found = self.blocks([run]).join(hits.select("fp"), "fp")
+        if before:
+            first = hits.where("known = 1").select("fp")
+            earlier = self.blocks(before)
+            found = found.unionByName(earlier.join(first, "fp"))
+            if again:
+                known = earlier.join(hits.where("known > 1").select("fp"), "fp").groupBy("fp", "b1", "b2").agg(F.min(F.struct("doc_id", "rk", "at", "n")).alias("one"))
+                found = found.unionByName(known.select("fp", "b1", "b2", "one.*"))
+        found = written(found, "candidates")
+        removed(hits)
+        self._compact()
+        return found
+
+    def _compact(self) -> None:
         level = 0
-        while len(mine := [r for r in self.runs if r[0] == level]) >= FANOUT:
-            merged = reduce(DataFrame.unionByName, [self._read(p, schema) for _, p in mine])
+        while len(mine := [r for r in self.runs if r.level == level]) >= self.fanout:
+            fps = self.fingerprints(mine).groupBy("fp").agg(F.sum("n").alias("n"))
+            merged = self.blocks(mine)
             self.runs = [r for r in self.runs if r not in mine]
-            self._write(merged, level + 1)
+            self._write(merged, fps, level + 1)
+            for r in mine:
+                for path in (r.blocks, r.fps):
+                    gone = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                    gone.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
             level += 1
 
-    def repeated(self, schema) -> DataFrame:
-        """All fingerprints that two places or more of the index have."""
-        return repeated(self.history(schema), ["fp"])
+    def verified(self, found: DataFrame, texts: DataFrame) -> DataFrame:
+        """doc_id, rk, at, stop: runs of words of the candidate blocks that also start elsewhere; texts: keyed docs that hold them all.
+
+        A text is asked for the single windows of a block only where its
+        fingerprint has a block that is found once.
+        """
+        block = ["fp", "b1", "b2"]
+        tally = written(found.groupBy(*block).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "rk", "at", "n")).alias("one")), "tally")
+        counted = found.join(tally.select(*block, "c"), block)
+        stop = lambda n: (F.col("at") + n - 1 + self.window).alias("stop")
+        whole = counted.where("c > 1").select(*KEY, "at", stop(F.col("n")))
+        single = tally.groupBy("fp").agg(F.min("c").alias("least"), F.count("*").alias("of")).where("least = 1 AND of > 1").select("fp")
+        single = written(single, "single")
+        lone = tally.where("c = 1").join(single, "fp").select("one.doc_id", "one.rk", F.struct("one.at", "one.n", F.lit(1).alias("weight")).alias("blocks"))
+        witness = tally.where("c > 1").join(single, "fp").select("one.doc_id", "one.rk", F.struct("one.at", "one.n", F.lit(2).alias("weight")).alias("blocks"))
+        asked = by_row(lone.unionByName(witness), "blocks")
+        windows = with_places(texts, asked, ["blocks"], "inner").mapInArrow(partial(_candidates, window=self.window), f"w1 bigint, w2 int, doc_id {self.kind}, rk int, at int, weight int")
+        windows = written(windows, "windows")
+        often = written(windows.groupBy("w1", "w2").agg(F.sum("weight").alias("copies")).where("copies > 1").select("w1", "w2"), "often")
+        alone = windows.where("weight = 1").join(often, ["w1", "w2"]).select(*KEY, "at", stop(F.lit(1)))
+        return whole.unionByName(alone)
+
+
+def _repeats(docs: DataFrame, finish, schema: str, *, window: int, gram: int = 8, batches: int = BATCHES, fanout: int = FANOUT, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """remove_repeats with the last step on batches and its schema."""
+    rows, whole = keyed(docs, id_col, text_col), keyed(docs, id_col, text_col, carry)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    index = FingerprintIndex(docs.sparkSession, window=window, gram=gram, fanout=fanout, kind=kind)
+    batch = lambda k: rows if batches == 1 else rows.where(F.pmod(F.xxhash64("doc_id", "rk"), F.lit(batches)) == k)
+    found = reduce(DataFrame.unionByName, [index.add(batch(k), again=False) for k in range(batches)])
+    spans = index.verified(found, rows).select(*KEY, F.struct("at", "stop").alias("spans"))
+    more = f", row {whole.schema['row'].dataType.simpleString()}" if carry else ""
+    return with_places(whole, by_row(spans, "spans"), ["spans"]).mapInArrow(finish, schema.format(kind, more))
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 50, gram: int = 8, batches: int = 2, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_text, text, and a struct ``row`` of the columns to carry, if any.
 
-    A word goes if a run of ``window`` words over it also starts anywhere else,
-    in the same text or another; all occurrences go.  kept_text joins the words
-    left with single spaces.  The rows go into the index in ``batches`` batches,
-    by a hash of their ids.  A null text is empty; a text of fewer words than a
-    window keeps them all; rows that repeat another in id and text are further
-    occurrences like any others.
+    A word goes if a run of ``window`` words (50) over it also starts anywhere
+    else, in the same text or another; all occurrences go.  kept_text joins the
+    words left with single spaces.  The rows go into an index in ``batches``
+    batches, by a hash of their ids and texts, and what each batch repeats, in
+    itself or of earlier ones, is what is removed.  A null text is empty; a text
+    of fewer words than a window keeps them all; rows that repeat another in id
+    and text are further occurrences like any others.  Other options: gram,
+    fanout, carry, the names of the columns.
     """
-    rows, whole = keyed(docs, id_col, text_col), keyed(docs, id_col, text_col, carry)
-    spark = docs.sparkSession
-    index = FingerprintIndex(spark, window=window, gram=gram)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    for k in range(batches):
-        index.add(rows if batches == 1 else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
-    found = written(index.repeated(index.fingerprints(rows).schema).drop("copies"), "repeated")
-    block = ["fp", "b1", "b2"]
-    tally = found.groupBy(*block).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "rk", "at", "n")).alias("one"))
-    counted = found.join(tally.select(*block, "c"), block)
-    stop = lambda n: (F.col("at") + n - 1 + window).alias("stop")
-    whole_blocks = counted.where("c > 1").select(*KEY, "at", stop(F.col("n")))
-    # where a fingerprint has a block that is found once, its windows may still be those of other blocks
-    single = tally.groupBy("fp").agg(F.min("c").alias("least")).where("least = 1").select("fp")
-    lone = counted.where("c = 1").select(*KEY, F.struct("at", "n", F.lit(1).alias("weight")).alias("blocks"))
-    witness = tally.where("c > 1").join(single, "fp").select("one.doc_id", "one.rk", F.struct("one.at", "one.n", F.lit(2).alias("weight")).alias("blocks"))
-    asked = by_row(lone.unionByName(witness), "blocks")
-    windows = with_places(rows, asked, ["blocks"]).mapInArrow(partial(_candidates, window=window), f"w1 bigint, w2 int, doc_id {kind}, rk int, at int, weight int")
-    often = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("copies")).where("copies > 1")
-    lone_windows = windows.where("weight = 1").join(often, ["w1", "w2"]).select(*KEY, "at", stop(F.lit(1)))
-    twice = by_row(whole_blocks.unionByName(lone_windows).select(*KEY, F.struct("at", "stop").alias("spans")), "spans")
-    more = f", row {whole.schema['row'].dataType.simpleString()}" if carry else ""
-    return with_places(whole, twice, ["spans"]).mapInArrow(_without, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string, text string{more}")
+    return _repeats(docs, _without, "doc_id {0}, n_words bigint, n_removed bigint, kept_text string, text string{1}", **({"window": 50} | options))
 
 
-def repeats_report(docs: DataFrame, *, window: int) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by single spaces)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    kept = remove_repeats(docs, window=window).select("doc_id", "n_words", "n_removed", "kept_text")
-    return kept.mapInArrow(_digest, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
+def repeats_report(docs: DataFrame, *, window: int, **options) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by single spaces); else as remove_repeats."""
+    return _repeats(docs, _digest, "doc_id {0}, n_words bigint, n_removed bigint, kept_sha256 string", window=window, **options)

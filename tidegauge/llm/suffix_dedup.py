@@ -16,6 +16,7 @@ strings are compared by hash, a row for each, in a grouped count.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -169,8 +170,15 @@ def maximal_repeats(left: list[bytes], right: list[bytes], length: int) -> Itera
     for k, i in enumerate(by_left):
         rank[i] = k
     child = [0] * n  # of the interval just below, so that a set that agrees further right isn't given again
+    done: dict[int, tuple[int, list[int]]] = {}  # first of an interval: its last and its members in the order of their left sides
     for k, (r, lo, hi) in enumerate(intervals(shared), 1):
-        members = sorted((order[x] for x in range(lo, hi + 1)), key=rank.__getitem__)
+        members, x = [], lo
+        while x <= hi:
+            last, inner = done.pop(x, (x, [order[x]]))
+            members += inner
+            x = last + 1
+        members.sort(key=rank.__getitem__)  # runs in order already: a merge
+        done[lo] = hi, members
         back = [common_prefix(left[a], left[b]) for a, b in zip(members, members[1:], strict=False)]
         if r + max(back) >= length:
             for v, a, b in intervals(back):
@@ -182,6 +190,52 @@ def maximal_repeats(left: list[bytes], right: list[bytes], length: int) -> Itera
             child[i] = k
 
 
+def reach(left: list[bytes], right: list[bytes], length: int) -> dict[int, tuple[int, int]]:
+    """For each occurrence over an anchor that a maximal repeat of ``length`` bytes or more covers: bytes to its left and from it on that such repeats reach.
+
+    The same tree of common-prefix intervals as in maximal_repeats, without
+    listing each interval's members: where intervals join, the members of the
+    smaller go into the larger's order by left side, and a new one is compared
+    with its two neighbours there.  All other pairs agree no further on either
+    side than pairs already seen.  So n log n in all.
+    """
+    n = len(right)
+    order = sorted(range(n), key=right.__getitem__)
+    shared = [common_prefix(right[a], right[b]) for a, b in zip(order, order[1:], strict=False)]
+    by_left = sorted(range(n), key=left.__getitem__)
+    rank = [0] * n
+    for k, i in enumerate(by_left):
+        rank[i] = k
+    best: dict[int, tuple[int, int]] = {}
+
+    def meet(a: int, b: int, r: int) -> None:
+        v = common_prefix(left[a], left[b])
+        if v + r >= length:
+            for i in (a, b):
+                x, y = best.get(i, (0, 0))
+                best[i] = max(x, v), max(y, r)
+
+    done: dict[int, tuple[int, list[int]]] = {}
+    for r, lo, hi in intervals(shared):
+        blocks, x = [], lo
+        while x <= hi:
+            last, inner = done.pop(x, (x, [rank[order[x]]]))
+            blocks.append(inner)
+            x = last + 1
+        large = max(blocks, key=len)
+        for block in blocks:
+            if block is not large:
+                for k in block:
+                    at = bisect.bisect_left(large, k)
+                    if at:
+                        meet(by_left[large[at - 1]], by_left[k], r)
+                    if at < len(large):
+                        meet(by_left[k], by_left[large[at]], r)
+                    large.insert(at, k)
+        done[lo] = hi, large
+    return best
+
+
 def _group_cover(left: list[bytes], right: list[bytes], length: int) -> list[tuple[int, int, int]]:
     """(occurrence, bytes to the left, bytes from the anchor on) of what repeats cover."""
     if len(right) == 2:
@@ -191,14 +245,10 @@ def _group_cover(left: list[bytes], right: list[bytes], length: int) -> list[tup
     for i, c in enumerate(zip(left, right, strict=True)):
         same.setdefault(c, []).append(i)
     out = [(i, len(v), len(r)) for (v, r), who in same.items() if len(who) > 1 and len(v) + len(r) >= length for i in who]
-    if len(same) > 1:
+    if len(same) > 1:  # all that covers an occurrence holds its anchor, so that it is one span
         distinct, who = list(same), list(same.values())
-        best: dict[int, tuple[int, int]] = {}  # all that covers an occurrence holds its anchor, so that it is one span
-        for v, r, members in maximal_repeats([c[0] for c in distinct], [c[1] for c in distinct], length):
-            for i in members:
-                x, y = best.get(i, (0, 0))
-                best[i] = max(x, v), max(y, r)
-        out += [(i, v, r) for k, (v, r) in best.items() for i in who[k]]
+        for k, (v, r) in reach([c[0] for c in distinct], [c[1] for c in distinct], length).items():
+            out += [(i, v, r) for i in who[k]]
     return out
 
 
@@ -305,7 +355,7 @@ def repeated_spans(rows: DataFrame, *, length: int, gram: int, group_limit: int
     # an anchor whose whole surroundings are found twice is covered as far as they reach; only those found once need the tree,
     # and one of each of the others to be compared with
     block = ["fp", "block"]
-    tally = found.groupBy(*block).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "rk", "place")).alias("one"))
+    tally = written(found.groupBy(*block).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "rk", "place")).alias("one")), "tally")
     fps = tally.groupBy("fp").agg(F.min("c").alias("least"), F.count("*").alias("members")).where("least = 1")
     whole = found.join(tally.where("c > 1").select(*block), block).select(*KEY, (F.col("place") - F.col("lft")).alias("start"), (F.col("place") + F.col("rgt")).alias("stop"))
     members = tally.join(fps, "fp").select("one.doc_id", "one.rk", F.struct("fp", "one.place").alias("places"), (F.col("members") > group_limit).alias("hot"))
@@ -321,6 +371,53 @@ def repeated_spans(rows: DataFrame, *, length: int, gram: int, group_limit: int
     return spans.unionByName(hot)
 
 
+def _tree_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """A row for each occurrence of each maximal repeat over an anchor."""
+    for t in _grouped(batches):
+        t = t.combine_chunks()
+        fp = t.column("fp").to_numpy()
+        edge = np.concatenate(([0], np.flatnonzero(fp[1:] != fp[:-1]) + 1, [len(fp)])).tolist()
+        place = t.column("place").to_numpy()
+        name, size, rows, start = [], [], [], []
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            if e - s > 1:
+                left = [x[::-1] for x in t.column("lft").slice(s, e - s).to_pylist()]
+                right = t.column("rgt").slice(s, e - s).to_pylist()
+                for v, r, members in maximal_repeats(left, right, length):
+                    i = members[0]
+                    digest = hashlib.sha256(left[i][:v][::-1] + right[i][:r]).hexdigest()
+                    name += [digest] * len(members)
+                    size += [v + r] * len(members)
+                    rows += [s + i for i in members]
+                    start += [int(place[s + i]) - v for i in members]
+        if rows:
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(name), pa.array(size, pa.int64()), t.column("doc_id").combine_chunks().take(take), t.column("rk").combine_chunks().take(take), pa.array(start, pa.int64())],
+                names=["repeat", "n_bytes", "doc_id", "rk", "start"],
+            )
+
+
+def maximal_repeat_groups(docs: DataFrame, *, length: int = 400, gram: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """repeat (SHA-256 of its bytes), n_bytes, doc_id, start: all occurrences of each maximal repeat of ``length`` bytes or more.
+
+    A repeat reaches ``length`` bytes at most from its anchor; a longer one comes
+    as the repeats over each of its anchors.  Repeats may lie in one another, and
+    each lists all its occurrences, so the rows can be many more than the input
+    has strings; one anchor's occurrences are one task.  Nulls, empties and
+    repeated rows as in repeated_strings_report.
+    """
+    gram = gram or max(8, length // 2)
+    rows = keyed(docs, id_col, text_col)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = written(rows.mapInArrow(partial(_anchor_rows, length=length, gram=gram), f"fp bigint, block bigint, doc_id {kind}, rk int, place int, lft int, rgt int"), "anchors")
+    places = by_row(repeated(found, ["fp"]).select(*KEY, F.struct("fp", "place").alias("places")), "places")
+    context = f"fp bigint, doc_id {kind}, rk int, place int, lft binary, rgt binary"
+    near = with_places(rows, places, ["places"]).mapInArrow(partial(_contexts, length=length, gram=gram), context)
+    tree = near.repartition(partitions(docs.sparkSession), "fp").sortWithinPartitions("fp")
+    return tree.mapInArrow(partial(_tree_groups, length=length), f"repeat string, n_bytes bigint, doc_id {kind}, rk int, start bigint").select("repeat", "n_bytes", "doc_id", "start").distinct()
+
+
 def remove_repeated_strings(docs: DataFrame, make: Callable, schema: str, *, length: int, gram: int | None = None, group_limit: int = GROUP_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = keyed(docs, id_col, text_col)
     spans = repeated_spans(rows, length=length, gram=gram or max(8, length // 2), group_limit=group_limit)
