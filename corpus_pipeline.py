@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm._spark import scratch, table
-from tidegauge.llm.decontaminate import find_leaks, without_leaks
-from tidegauge.llm.near_dedup import near_duplicates
+from tidegauge.llm.decontaminate import without_leaks
+from tidegauge.llm.near_dedup import without_near_duplicates
 from tidegauge.llm.quality import DEFAULT, apply_policy, quality_ledger
 from tidegauge.llm.sentencepiece_lattice import encode
 from tidegauge.llm.substring_dedup import remove_repeats
@@ -20,13 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of least id; of rows that repeat an id the one of least text.
-
-    Documents without an id can't be told apart and stay.
-    """
-    kept = near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_place = 1").drop("_place")
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of near duplicates stays, that of least id; rows are told apart by id and text."""
+    return without_near_duplicates(docs, words=5, percent=80)
 
 
 def _with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -48,8 +43,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with windows of two benchmark items or more go; from others the words of such windows go."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark"), carry=_others(docs))
-    rows = without_leaks(leaks.where(F.size("items") < 2))
+    rows = without_leaks(docs, table(spark, sf_dir, "benchmark"), most=1, carry=_others(docs))
     return _with_text(rows, docs.columns, "text")
 
 
