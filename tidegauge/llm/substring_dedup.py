@@ -186,8 +186,8 @@ class FingerprintIndex:
     def _write(self, blocks: DataFrame, fps: DataFrame | None, level: int) -> Run:
         run = Run(level, *[f"{self.path}/level-{level}-run-{self._made}-{what}" for what in ("blocks", "fps")])
         self._made += 1
-        # a hot fingerprint's blocks are many rows of one value: their hash parts them among files of neighbouring ranges
-        blocks.repartitionByRange(partitions(self.spark), "fp", "b1").sortWithinPartitions("fp", "b1").write.parquet(run.blocks)
+        # a hot block is many rows of one value: their places part them among files of neighbouring ranges
+        blocks.repartitionByRange(partitions(self.spark), "fp", "b1", "doc_id", "at").sortWithinPartitions("fp", "b1").write.parquet(run.blocks)
         if fps is None:
             fps = self.blocks([run]).groupBy("fp").agg(F.count("*").alias("n"))
         self._sorted(fps, run.fps)
