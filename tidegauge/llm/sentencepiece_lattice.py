@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._spark import let
 
 #: The public byte-pair model; never copied, read where it lies.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -122,10 +123,10 @@ def lattice_edges(words: DataFrame, pieces: Pieces) -> DataFrame:
     table = F.broadcast(piece_table(words.sparkSession, pieces))
     distinct = words.select("word").where("word IS NOT NULL AND word <> ''").groupBy("word").agg(F.count("*").alias("n")).select("word")
     size = F.char_length("word")
-    starts = distinct.select("word", F.explode(F.sequence(F.lit(1), size)).alias("start"))
-    parts = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("start") + 1))).alias("n"))
-    edges = parts.withColumn("piece", F.expr("substring(word, start, n)")).join(table, "piece")
-    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("start", "n", "id", "score"))).alias("edges"))
+    of = lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - s + 1)), lambda n: F.struct(s.alias("start"), n.alias("n"), F.substring(F.col("word"), s, n).alias("piece")))
+    parts = distinct.select("word", F.inline(F.flatten(F.transform(F.sequence(F.lit(1), size), of))))
+    edges = parts.join(table, "piece")
+    grouped = edges.groupBy("word").agg(F.collect_list(F.struct("start", "n", "id", "score")).alias("edges"))
     return distinct.join(grouped, "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<start:int,n:int,id:int,score:double>>")))
 
 
@@ -148,27 +149,32 @@ def _viterbi(word: Column, edges: Column, unknown: float) -> Column:
 
 
 def _merges(word: Column, edges: Column) -> Column:
-    """The pieces after all merges as an array of (start, n, id)."""
-    item = "struct<start:int,n:int,id:int>"
-    one = F.transform(
-        F.sequence(F.lit(1), F.char_length(word)),
-        lambda k: F.struct(k.cast("int").alias("start"), F.lit(1).alias("n"), F.coalesce(F.element_at(F.filter(edges, lambda e: (e["start"] == k) & (e["n"] == 1)), 1)["id"], F.lit(-1)).alias("id")).cast(item),
-    )
-
-    def step(parts: Column, _: Column) -> Column:
-        joins = F.filter(edges, lambda e: F.exists(parts, lambda p: (p["start"] == e["start"]) & (p["n"] < e["n"]) & F.exists(parts, lambda q: (q["start"] == p["start"] + p["n"]) & (q["start"] + q["n"] == e["start"] + e["n"]))))
-        best = F.array_max(F.transform(joins, lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("back"), e["start"].alias("start"), e["n"].alias("n"), e["id"].alias("id"))))
-        merged = F.flatten(
-            F.transform(
-                parts,
-                lambda p: F.when(p["start"] == best["start"], F.array(F.struct(best["start"].alias("start"), best["n"].alias("n"), best["id"].alias("id")).cast(item)))
-                .when((p["start"] > best["start"]) & (p["start"] < best["start"] + best["n"]), F.array().cast(f"array<{item}>"))
-                .otherwise(F.array(p)),
-            )
+    """The pieces after all merges as an array of (start, n, id).
+
+    The state is the places where pieces start, with one more at the end: a
+    merge takes one out.  Edges are looked up by start and length.
+    """
+    far = 1 << 16
+    joins = F.map_from_entries(F.transform(edges, lambda e: F.struct((e["start"] * far + e["n"]).alias("key"), F.struct(e["score"].alias("score"), e["id"].alias("id")))))
+    key = lambda a, b: a * far + (b - a)
+    size = F.char_length(word)
+
+    def step(state: Column, _: Column, found: Column) -> Column:
+        at = state["at"]
+        pairs = F.transform(
+            F.slice(at, 1, F.greatest(F.size(at) - 2, F.lit(0))),
+            lambda a, i: F.struct(found[key(a, F.get(at, i + 2))]["score"].alias("score"), (-a).alias("back"), F.get(at, i + 1).alias("cut")),
         )
-        return F.when(best.isNull(), parts).otherwise(merged)
+        best = F.array_max(F.filter(pairs, lambda p: p["score"].isNotNull()))
+        new = F.when(best.isNull(), F.struct(F.lit(True).alias("done"), at.alias("at"))).otherwise(F.struct(F.lit(False).alias("done"), F.array_remove(at, best["cut"]).alias("at")))
+        return F.when(state["done"], state).otherwise(new)
+
+    def fold(found: Column) -> Column:
+        first = F.struct(F.lit(False).alias("done"), F.sequence(F.lit(1), size + 1).alias("at"))
+        at = F.aggregate(F.sequence(F.lit(1), size), first, lambda s, k: step(s, k, found), lambda s: s["at"])
+        return let(at, lambda x: F.transform(F.slice(x, 1, F.size(x) - 1), lambda a, i: F.struct(a.alias("start"), (F.get(x, i + 1) - a).alias("n"), F.coalesce(found[key(a, F.get(x, i + 1))]["id"], F.lit(-1)).alias("id"))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(word)), one.cast(f"array<{item}>"), step)
+    return let(joins, fold)
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
