@@ -7,5 +7,32 @@ SF = "/root/testdata/sf0.001"
 
 def test_effective_dimensions_of_all_components(spark):
     """Eight components can't have more than eight dimensions."""
-    found = registry.queries()["effective_dimensions_whole"](spark, SF).collect()
+    found = registry.queries()["effective_dimensions"](spark, SF).collect()
     assert found and max(r.dimensions for r in found) > 8
+
+
+def test_near_copies_are_all_pairs_within_the_limit(spark):
+    import math
+
+    from tidegauge.operators import cohort
+
+    v = [(r.vec_id, r.label, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("label < 3").collect()]
+    v += [(10_000 + i, g, [x + 0.01 for x in e]) for i, g, e in v[:20]]
+    df = spark.createDataFrame(v, "vec_id long, label int, x array<double>")
+    for limit in (0.1, 1.3):
+        got = {(r.a, r.b) for r in cohort.near_copies(df, limit=limit).collect()}
+        want = set()
+        for g in range(3):
+            rows = [(i, e) for i, k, e in v if k == g]
+            mean = [sum(c) / len(rows) for c in zip(*[e for _, e in rows])]
+            scale = math.sqrt(sum((x - m) ** 2 for _, e in rows for x, m in zip(e, mean)) / len(rows) / len(mean))
+            want |= {(min(i, j), max(i, j)) for i, e in rows for j, f in rows if i < j and math.sqrt(sum((x - y) ** 2 for x, y in zip(e, f)) / len(e)) / scale <= limit}
+        assert got == want and want
+
+
+def test_pairs_beyond_the_cap_keep_the_nearest(spark):
+    from tidegauge.operators import cohort
+
+    pairs = spark.createDataFrame([(a, b, abs(a - b) / 10) for a in range(6) for b in range(a + 1, 6)], "a long, b long, nrmse double")
+    assert cohort.listed_pairs(pairs).count() == 15
+    assert {(r.a, r.b) for r in cohort.listed_pairs(pairs, most=3, partners=1).collect()} == {(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)}

@@ -12,6 +12,10 @@ AXES = ("x", "y", "z", "w")
 UNITS = ("s", "ms", "us", "ns", "m", "mm", "cm", "rad", "deg", "mrad", "hz", "n", "nm", "v", "a", "c", "pct")
 
 
+#: A time unit at the end of a name.
+UNIT_END = r"(?:_|_in_|\(|\[)(s|ms|us|ns|sec|msec|usec|nsec)[)\]]?$"
+
+
 def last_segment(name: Column) -> Column:
     return F.element_at(F.split(name, r"\."), -1)
 
@@ -35,9 +39,9 @@ def tokens(name: Column) -> Column:
 
 
 def unit_of_name(name: Column) -> Column:
-    """s, ms, us or ns after an underscore, ``in`` or within brackets at the end of a name."""
-    unit = F.regexp_extract(F.lower(name), r"(?:_|_in_|\(|\[)(s|ms|us|ns)[)\]]?$", 1)
-    return F.when(unit != "", unit)
+    """s, ms, us or ns, or sec, msec, usec or nsec, after an underscore, ``in`` or within brackets at the end of a name."""
+    unit = F.regexp_extract(F.lower(name), UNIT_END, 1)
+    return F.when(unit != "", F.regexp_replace(unit, "sec$", "s"))
 
 
 def unit_of_magnitude(gap: Column) -> Column:
@@ -50,8 +54,8 @@ def seconds_a_tick(unit: Column) -> Column:
 
 
 def timestamp_of_key(key: Column) -> Column:
-    """Epoch seconds of a trailing YYYY-MM-DD-HHh-MMm-SSs, UTC."""
-    g = [F.regexp_extract(key, r"(\d{4})-(\d\d)-(\d\d)-(\d\d)h-(\d\d)m-(\d\d)s$", k).cast("int") for k in range(1, 7)]
+    """Epoch seconds of a trailing YYYY-MM-DD-HHh-MMm-SSs or YYYY-MM-DDTHH:MM:SS, UTC; null for none."""
+    g = [F.regexp_extract(key, r"(\d{4})-(\d\d)-(\d\d)[-T](\d\d)(?:h-|:)(\d\d)(?:m-|:)(\d\d)s?$", k).try_cast("int") for k in range(1, 7)]
     days = F.unix_date(F.make_date(g[0], g[1], g[2]))
     return days * 86400 + g[3] * 3600 + g[4] * 60 + g[5]
 

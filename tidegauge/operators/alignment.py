@@ -149,3 +149,45 @@ def best_lag(curve: DataFrame, keys: list[str]) -> DataFrame:
     bend = F.col("a") - 2 * F.col("r") + F.col("c")
     shift = F.when(bend < 0, 0.5 * (F.col("a") - F.col("c")) / bend).otherwise(0.0)
     return rows.select(*keys, "lag", "r", (F.col("lag") + F.coalesce(shift, F.lit(0.0))).alias("refined"))
+
+
+def _counted(points: DataFrame, frames: DataFrame, keys: list[str], at: str, name: str, inclusive: bool) -> DataFrame:
+    """Points with the number of frames before ``at`` (up to it if inclusive): one window pass over both."""
+    marks = points.select(*keys, F.col("_id"), F.col(at).alias("_t"), F.lit(1 if inclusive else 0).alias("_kind"))
+    ticks = frames.select(*keys, F.lit(None).cast("bigint").alias("_id"), F.col("t").alias("_t"), F.lit(0 if inclusive else 1).alias("_kind"))
+    w = Window.partitionBy(*keys).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marks.unionByName(ticks).withColumn(name, F.sum(F.when(F.col("_id").isNull(), 1).otherwise(0)).over(w))
+    return points.join(rows.where("_id IS NOT NULL").select(*keys, "_id", name), [*keys, "_id"])
+
+
+def frames_spanned(steps: DataFrame, frames: DataFrame, keys: list[str], share: float = 1e-3) -> DataFrame:
+    """The first and last frame onto whose incoming step each control step (a, b] falls; null where it falls before the second or after the last.
+
+    steps: keys, _id (whole number), a, b; frames: keys, t, ascending.  Times
+    within ``share`` of the usual frame gap count as equal.
+    """
+    gap = F.col("t") - F.lag("t").over(Window.partitionBy(*keys).orderBy("t"))
+    usual = frames.withColumn("gap", gap).groupBy(*keys).agg(F.count("*").alias("frames"), (F.coalesce(F.median("gap"), F.lit(0.0)) * share).alias("near"))
+    rows = steps.join(usual, keys).withColumns({"_from": F.col("a") + F.col("near"), "_to": F.col("b") - F.col("near")})
+    rows = _counted(rows, frames, keys, "_from", "first", True)
+    rows = _counted(rows, frames, keys, "_to", "last", False).withColumn("last", F.greatest("last", "first"))
+    out = (F.col("last") < 1) | (F.col("first") > F.col("frames") - 1)
+    inside = lambda c: F.when(~out, F.least(F.greatest(F.col(c), F.lit(1)), F.col("frames") - 1))
+    return rows.select(*keys, "_id", "a", "b", inside("first").alias("first"), inside("last").alias("last"))
+
+
+def on_frame_steps(control: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """Per step between frames the value of the control step that ends at the row nearest the step's second frame, the earlier of equals.
+
+    control: keys, row_idx (from 0), t, step (the value of the step that ends at the row); frames: keys, frame (from 0), t.
+    """
+    w = Window.partitionBy(*keys).orderBy("_t", "_kind")
+    rows = control.select(*keys, F.col("t").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("frame"), F.struct("t", "row_idx").alias("c")).unionByName(
+        frames.where("frame > 0").select(*keys, F.col("t").alias("_t"), F.lit(1).alias("_kind"), F.col("frame").cast("bigint").alias("frame"), F.lit(None).cast("struct<t:double,row_idx:bigint>").alias("c"))
+    )
+    before = F.last("c", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("c", True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    near = rows.withColumns({"p": before, "q": after}).where("frame IS NOT NULL")
+    take_q = F.col("p").isNull() | (F.col("q").isNotNull() & ((F.col("q.t") - F.col("_t")) < (F.col("_t") - F.col("p.t"))))
+    near = near.withColumn("row_idx", F.greatest(F.when(take_q, F.col("q.row_idx")).otherwise(F.col("p.row_idx")), F.lit(1)))
+    return near.join(control.select(*keys, "row_idx", "step"), [*keys, "row_idx"], "left").select(*keys, (F.col("frame") - 1).alias("video_step"), "step")

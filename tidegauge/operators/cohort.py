@@ -39,27 +39,58 @@ def exact_copies(content: DataFrame, id_col: str, key: str) -> DataFrame:
     return content.groupBy(key).agg(F.min(id_col).alias("first"), F.count("*").alias("copies")).where("copies > 1")
 
 
-def near_copies(vectors: DataFrame, *, limit: float = 0.02, id_col: str = "vec_id", group: str = "label") -> DataFrame:
+def near_copies(vectors: DataFrame, *, limit: float = 0.02, id_col: str = "vec_id", group: str = "label", axes: int = 3) -> DataFrame:
     """All pairs within a group whose root mean square distance over the group's deviation is within a limit.
 
     vectors: id, group, x (array of doubles).  A projection never lengthens a
-    distance, so pairs within r are within r on one axis too: rows go in bands
-    of width r on the axis with the greatest spread and meet only those of the
-    same and the next band; then the exact distance.
+    distance, so pairs within r are within r on every axis: rows go in cells of
+    width r on the ``axes`` of greatest spread and meet only those of their own
+    and the neighbouring cells; then the exact distance.
     """
     dim = F.size("x")
     each = vectors.select(group, F.posexplode("x").alias("p", "c"))
     spread = each.groupBy(group, "p").agg(F.var_pop("c").alias("var"))
-    scale = spread.groupBy(group).agg(F.sqrt(F.avg("var")).alias("scale"), F.max_by("p", F.struct("var", -F.col("p"))).alias("axis"))
-    rows = vectors.join(F.broadcast(scale), group).where("scale > 0").withColumn("r", F.col("scale") * limit * F.sqrt(dim.cast("double")))
-    rows = rows.withColumn("band", F.floor(F.get("x", F.col("axis")) / F.col("r")))
-    a = rows.select(group, "scale", F.col("band"), F.col(id_col).alias("a"), F.col("x").alias("xa"))
-    b = rows.select(group, F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("band").alias("own"), F.col(id_col).alias("b"), F.col("x").alias("xb"))
-    pairs = a.join(b, [group, "band"]).where((F.col("own") > F.col("band")) | (F.col("a") < F.col("b")))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("var"), "p"))
+    ranked = spread.withColumn("_r", place).groupBy(group).agg(F.sqrt(F.avg("var")).alias("scale"), F.array_agg(F.when(F.col("_r") <= axes, F.col("p"))).alias("axes"))
+    rows = vectors.join(F.broadcast(ranked), group).where("scale > 0").withColumn("r", F.col("scale") * limit * F.sqrt(dim.cast("double")))
+    rows = rows.withColumn("cell", F.transform(F.array_sort("axes"), lambda p: F.floor(F.get("x", p) / F.col("r"))))
+    cells = F.array(F.array().cast("array<bigint>"))
+    near = F.aggregate("cell", cells, lambda done, c: F.flatten(F.transform(done, lambda d: F.transform(F.array(c - 1, c, c + 1), lambda k: F.concat(d, F.array(k))))))
+    a = rows.select(group, "scale", "cell", F.col(id_col).alias("a"), F.col("x").alias("xa"))
+    b = rows.select(group, F.explode(near).alias("cell"), F.col(id_col).alias("b"), F.col("x").alias("xb"))
+    pairs = a.join(b, [group, "cell"]).where("a < b")
     squares = F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)
     rmse = F.sqrt(squares / F.size("xa")) / F.col("scale")
-    out = pairs.withColumn("nrmse", rmse).where(F.col("nrmse") <= limit)
-    return out.select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "nrmse")
+    return pairs.withColumn("nrmse", rmse).where(F.col("nrmse") <= limit).select(group, "a", "b", "nrmse")
+
+
+def of_like_length(pairs: DataFrame, rows: DataFrame, id_col: str, key: str, n: str, most: float = 0.1) -> DataFrame:
+    """Pairs whose numbers of rows differ by a tenth of the longer at most, on every stream that both have."""
+    count = lambda side: rows.select(F.col(id_col).alias(side), key, F.col(n).alias(f"n_{side}"))
+    far = F.max(F.abs(F.col("n_a") - F.col("n_b")) / F.greatest("n_a", "n_b"))
+    return pairs.join(count("a"), "a").join(count("b"), ["b", key]).groupBy(*pairs.columns).agg(far.alias("mismatch")).where(F.col("mismatch") <= most)
+
+
+def listed_pairs(pairs: DataFrame, most: int = 1_500_000, partners: int = 5) -> DataFrame:
+    """All pairs where they are few enough to list, else each id's nearest partners only."""
+    if pairs.count() <= most:
+        return pairs.select("a", "b", "nrmse")
+    near = nearest_partners(pairs, partners)
+    return near.select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b"), "nrmse").distinct()
+
+
+def budgeted_pairs(items: DataFrame, keys: list[str], id_col: str, budget: int) -> DataFrame:
+    """The first ``budget`` pairs of each cohort in the order (first, second): pairs are made from their numbers, none beyond the budget."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(id_col)) - 1
+    rows = items.select(*keys, id_col).distinct().withColumn("i", place.cast("bigint"))
+    size = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(budget).cast("bigint"), F.col("n") * (F.col("n") - 1) / 2).cast("bigint") - 1)).alias("r")
+    m = 2 * F.col("n") - 1
+    first = F.floor((m - F.sqrt((m * m - 8 * F.col("r")).cast("double"))) / 2)
+    before = F.col("i") * (m - F.col("i")) / 2
+    pairs = size.where("n > 1").select(*keys, "n", number).withColumn("i", first).withColumn("j", (F.col("r") - before + F.col("i") + 1).cast("bigint"))
+    name = lambda i, c: rows.select(*keys, F.col("i").alias(i), F.col(id_col).alias(c))
+    return pairs.join(name("i", "a"), [*keys, "i"]).join(name("j", "b"), [*keys, "j"]).select(*keys, F.col("r").alias("rank"), "a", "b")
 
 
 def nearest_partners(pairs: DataFrame, most: int = 5) -> DataFrame:

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import CHANNEL_KEY, STREAM_KEY, W, finite, first_reason, results
-from .registry import metric
+from .registry import Requires, metric
 from .sequences import leave_one_out, longest_run, smooth, with_previous
 
+# Fixed value: the taxonomy of tactile arrays.
+TAXEL_PRESSURE = "extero.taxel_pressure"
+
 
 def _per_channel(samples: DataFrame, stats: DataFrame) -> DataFrame:
     return samples.select(*CHANNEL_KEY).distinct().join(stats, list(CHANNEL_KEY), "left")
@@ -19,7 +22,7 @@ def switches(samples: DataFrame) -> DataFrame:
     return samples.groupBy(*CHANNEL_KEY).agg((F.count_distinct("v") == 2).alias("is_switch"))
 
 
-@metric("missing_pct", level="channel", family="integrity", unit="%")
+@metric("missing_pct", level="channel", family="integrity", unit="%", requires=Requires(samples=1))
 def missing_pct(samples: DataFrame, streams: DataFrame | None = None) -> DataFrame:
     """Null and NaN; infinities are there."""
     gone = (F.col("v").isNull() | F.isnan("v")).cast("int")
@@ -27,7 +30,7 @@ def missing_pct(samples: DataFrame, streams: DataFrame | None = None) -> DataFra
     return results(stats, CHANNEL_KEY, "missing_pct", "%", F.col("value"), F.lit(None).cast("string"))
 
 
-@metric("flatline_pct", level="channel", family="integrity", unit="%")
+@metric("flatline_pct", level="channel", family="integrity", unit="%", requires=Requires(samples=2))
 def flatline_pct(samples: DataFrame, streams: DataFrame | None = None) -> DataFrame:
     """Unchanged share of adjacent finite pairs."""
     rows = with_previous(samples)
@@ -49,7 +52,7 @@ def flatline_evidence(samples: DataFrame) -> DataFrame:
     return stats.join(longest, list(CHANNEL_KEY), "left").fillna({"longest": 0})
 
 
-@metric("spike_pct", level="channel", family="integrity", unit="%")
+@metric("spike_pct", level="channel", family="integrity", unit="%", requires=Requires(samples=51))
 def spike_pct(samples: DataFrame, streams: DataFrame | None = None) -> DataFrame:
     """Rows over six deviations from the others of their window of 51."""
     scored = F.col("others_std") > 0
@@ -59,7 +62,7 @@ def spike_pct(samples: DataFrame, streams: DataFrame | None = None) -> DataFrame
     return results(stats, CHANNEL_KEY, "spike_pct", "%", 100.0 * F.coalesce("spikes", F.lit(0)) / F.col("scored"), why)
 
 
-@metric("drift", level="channel", family="integrity", unit="per min")
+@metric("drift", level="channel", family="integrity", unit="per min", requires=Requires(samples=5))
 def drift(samples: DataFrame, streams: DataFrame | None = None) -> DataFrame:
     """Least-squares slope a minute; nulls are left out."""
     ok = samples.where("v IS NOT NULL AND t IS NOT NULL")
@@ -78,7 +81,7 @@ def drift_fit(samples: DataFrame) -> DataFrame:
 SMOOTHING_HZ = 5 / (0.1 * 1.1)
 
 
-@metric("snr_db", level="channel", family="integrity", unit="dB")
+@metric("snr_db", level="channel", family="integrity", unit="dB", requires=Requires(samples=8, regular=True))
 def snr_db(samples: DataFrame, streams: DataFrame) -> DataFrame:
     """Variance of a smooth of five over that of the rest."""
     rows = smooth(samples).withColumn("rest", F.col("v") - F.col("smooth"))
@@ -134,7 +137,7 @@ def rotation_snr_db(samples: DataFrame, streams: DataFrame | None = None, names:
     return results(stats, STREAM_KEY, "rotation_snr_db", "dB", 10 * F.log10(F.col("signal") / F.col("rest")), why)
 
 
-@metric("dead_taxel_pct", level="stream", family="integrity", unit="%")
+@metric("dead_taxel_pct", level="stream", family="integrity", unit="%", requires=Requires((TAXEL_PRESSURE,), 2))
 def dead_taxel_pct(samples: DataFrame, streams: DataFrame | None = None) -> DataFrame:
     """Cells with at most one distinct value; here a null is a value."""
     cells = samples.groupBy(*CHANNEL_KEY).agg(F.count("*").alias("n"), (F.count_distinct("v") + F.max(F.col("v").isNull().cast("int"))).alias("values"))
@@ -142,7 +145,7 @@ def dead_taxel_pct(samples: DataFrame, streams: DataFrame | None = None) -> Data
     return results(stats, STREAM_KEY, "dead_taxel_pct", "%", F.col("dead"), first_reason((F.col("n") < 2, "too few samples")))
 
 
-@metric("hysteresis", level="stream", family="integrity", unit="fraction")
+@metric("hysteresis", level="stream", family="integrity", unit="fraction", requires=Requires((TAXEL_PRESSURE,), 8))
 def hysteresis(samples: DataFrame, streams: DataFrame | None = None) -> DataFrame:
     """How unlike loading and unloading are about the first peak of the mean over channels."""
     mean = samples.groupBy(*STREAM_KEY, "row_idx").agg(F.avg("v").alias("a"))

@@ -14,9 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import CHANNEL_KEY, STREAM_KEY, W, finite, first_reason, nearest_rank, results
-from .registry import metric
+from .registry import Requires, metric
 from .sequences import differences
 
+# The taxonomies these metrics are of.
+JOINT_POSITION = "proprio.joint_position"
+JOINT_VELOCITY = "proprio.joint_velocity"
+JOINT_TORQUE = "proprio.joint_torque"
+
 
 def _median_step(samples: DataFrame) -> DataFrame:
     steps = samples.select(*CHANNEL_KEY, (F.col("t") - F.lag("t").over(W())).alias("step"))
@@ -39,17 +44,17 @@ def _jerk(samples: DataFrame, streams: DataFrame, name: str, value) -> DataFrame
     return results(stats, STREAM_KEY, name, "normalised", F.col("jerk"), why)
 
 
-@metric("mean_jerk_norm", level="stream", family="motion", unit="normalised")
+@metric("mean_jerk_norm", level="stream", family="motion", unit="normalised", requires=Requires((JOINT_POSITION,), 5, True))
 def mean_jerk_norm(samples: DataFrame, streams: DataFrame) -> DataFrame:
     return _jerk(samples, streams, "mean_jerk_norm", F.sqrt(F.avg(F.col("jerk") ** 2)))
 
 
-@metric("max_abs_jerk", level="stream", family="motion", unit="normalised")
+@metric("max_abs_jerk", level="stream", family="motion", unit="normalised", requires=Requires((JOINT_POSITION,), 5, True))
 def max_abs_jerk(samples: DataFrame, streams: DataFrame) -> DataFrame:
     return _jerk(samples, streams, "max_abs_jerk", F.max(F.abs("jerk")))
 
 
-@metric("velocity_spike_pct", level="channel", family="motion", unit="%")
+@metric("velocity_spike_pct", level="channel", family="motion", unit="%", requires=Requires((JOINT_POSITION,), 40, True))
 def velocity_spike_pct(samples: DataFrame, streams: DataFrame) -> DataFrame:
     """First differences of adjacent finite rows over six population deviations from their mean."""
     d = F.when(finite(F.col("v")) & finite(F.lag("v").over(W())), F.col("v") - F.lag("v").over(W()))
@@ -62,7 +67,7 @@ def velocity_spike_pct(samples: DataFrame, streams: DataFrame) -> DataFrame:
     return results(stats, CHANNEL_KEY, "velocity_spike_pct", "%", 100.0 * F.coalesce("out", F.lit(0)) / F.col("steps"), why)
 
 
-@metric("log_dimensionless_jerk", level="channel", family="motion", unit="")
+@metric("log_dimensionless_jerk", level="channel", family="motion", unit="", requires=Requires((JOINT_POSITION,), 5, True))
 def log_dimensionless_jerk(samples: DataFrame, streams: DataFrame) -> DataFrame:
     """-ln(T**5 * sum((d3 / dt**3)**2) * dt / range**2); all values have to be finite."""
     rows = differences(samples).join(_median_step(samples), list(STREAM_KEY))
@@ -80,7 +85,7 @@ def log_dimensionless_jerk(samples: DataFrame, streams: DataFrame) -> DataFrame:
     return results(stats, CHANNEL_KEY, "log_dimensionless_jerk", "", -F.log(cost), why)
 
 
-@metric("action_chatter", level="stream", family="motion", unit="normalised")
+@metric("action_chatter", level="stream", family="motion", unit="normalised", requires=Requires((JOINT_VELOCITY,), 5, True))
 def action_chatter(samples: DataFrame, streams: DataFrame | None = None) -> DataFrame:
     """Mean over channels of mean |step| over deviation; nulls are dropped first."""
     rows = samples.where("v IS NOT NULL")
@@ -90,7 +95,7 @@ def action_chatter(samples: DataFrame, streams: DataFrame | None = None) -> Data
     return results(stats, STREAM_KEY, "action_chatter", "normalised", F.col("value"), first_reason((F.col("value").isNull(), "no moving channel")))
 
 
-@metric("still_drift", level="stream", family="motion", unit="unit")
+@metric("still_drift", level="stream", family="motion", unit="unit", requires=Requires((JOINT_POSITION,), 8))
 def still_drift(samples: DataFrame, streams: DataFrame | None = None) -> DataFrame:
     """How far the last fifth moves, if its steps are small beside the whole's."""
     rows = samples.where("v IS NOT NULL")
@@ -111,7 +116,7 @@ def still_drift(samples: DataFrame, streams: DataFrame | None = None) -> DataFra
     return results(stats, STREAM_KEY, "still_drift", "unit", F.col("moved"), why)
 
 
-@metric("vel_saturation_pct", level="channel", family="motion", unit="%")
+@metric("vel_saturation_pct", level="channel", family="motion", unit="%", requires=Requires((JOINT_VELOCITY,), 2))
 def vel_saturation_pct(samples: DataFrame, streams: DataFrame | None = None) -> DataFrame:
     """Share of |v| at 0.9 of its greatest or more."""
     ok = samples.where(finite(F.col("v")))
@@ -120,7 +125,7 @@ def vel_saturation_pct(samples: DataFrame, streams: DataFrame | None = None) ->
     return results(stats, CHANNEL_KEY, "vel_saturation_pct", "%", F.col("value"), first_reason((F.col("top") <= 0, "no motion")))
 
 
-@metric("limit_proximity_pct", level="channel", family="motion", unit="%")
+@metric("limit_proximity_pct", level="channel", family="motion", unit="%", requires=Requires((JOINT_POSITION,), 2))
 def limit_proximity_pct(samples: DataFrame, streams: DataFrame | None = None) -> DataFrame:
     """Share at 0.95 of the half range from the middle or more."""
     ok = samples.where(finite(F.col("v")))
@@ -144,7 +149,7 @@ def _power_share(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([keys | {"n": len(v), "bad": bad, "rate": 1 / dt if dt > 0 else None, "share": None if math.isnan(share) else share}])
 
 
-@metric("hf_vibration_ratio", level="channel", family="motion", unit="fraction")
+@metric("hf_vibration_ratio", level="channel", family="motion", unit="fraction", requires=Requires((JOINT_TORQUE,), 32, True))
 def hf_vibration_ratio(samples: DataFrame, streams: DataFrame | None = None) -> DataFrame:
     """Power above 20 Hz over all power of the series without its mean.
 
@@ -160,22 +165,22 @@ def _torque(samples: DataFrame, name: str, value) -> DataFrame:
     return results(stats, CHANNEL_KEY, name, "N·m", F.col("value"), F.lit(None).cast("string"))
 
 
-@metric("p99_torque", level="channel", family="motion", unit="N·m")
+@metric("p99_torque", level="channel", family="motion", unit="N·m", requires=Requires((JOINT_TORQUE,), 2))
 def p99_torque(samples: DataFrame, streams: DataFrame | None = None) -> DataFrame:
     return _torque(samples, "p99_torque", nearest_rank(F.col("a"), 0.99))
 
 
-@metric("max_torque", level="channel", family="motion", unit="N·m")
+@metric("max_torque", level="channel", family="motion", unit="N·m", requires=Requires((JOINT_TORQUE,), 2))
 def max_torque(samples: DataFrame, streams: DataFrame | None = None) -> DataFrame:
     return _torque(samples, "max_torque", F.max("a"))
 
 
-@metric("mean_torque", level="channel", family="motion", unit="N·m")
+@metric("mean_torque", level="channel", family="motion", unit="N·m", requires=Requires((JOINT_TORQUE,), 2))
 def mean_torque(samples: DataFrame, streams: DataFrame | None = None) -> DataFrame:
     return _torque(samples, "mean_torque", F.avg("a"))
 
 
-@metric("energy_proxy", level="episode", family="motion", unit="J")
+@metric("energy_proxy", level="episode", family="motion", unit="J", requires=Requires((JOINT_TORQUE, JOINT_VELOCITY)))
 def energy_proxy(samples: DataFrame, streams: DataFrame | None = None, torque: str = "torque", velocity: str = "velocity") -> DataFrame:
     """Sum of |torque * velocity| over paired channels times the median step; times have to agree within 1e-6 s."""
     a = samples.where(F.col("stream") == torque).select("episode_id", "channel", "row_idx", "t", F.col("v").alias("tau"))

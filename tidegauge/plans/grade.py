@@ -9,9 +9,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import dictionary as D
+from ..operators import gates as G
 from ..operators import integrity, motion, timing  # noqa: F401
 from ..operators.registry import METRICS
 from ..operators.timing import regularity
+from . import eligibility as E
 from . import policy as P
 from . import scoring as S
 
@@ -44,33 +47,61 @@ class Grading:
         return "\n".join([*lines, *(f"{r.severity:8} {r.episode_id} {r.finding_key}: {r.value:.4g}" for r in worst)])
 
 
-def grade_samples(samples: DataFrame, streams: DataFrame, policy: tuple[P.Grade, ...] = P.DEFAULT, metrics: tuple[str, ...] | None = None) -> Grading:
+def grade_samples(
+    samples: DataFrame,
+    streams: DataFrame,
+    policy: tuple[P.Grade, ...] = P.DEFAULT,
+    metrics: tuple[str, ...] | None = None,
+    targets: dict[str, float] | None = None,
+    needed: E.Requirements | None = None,
+    capabilities: dict[str, tuple[str, ...]] | None = None,
+) -> Grading:
+    """Grades recordings: every metric on the streams that meet its requirements.
+
+    targets: what a metric is graded against where that is a deviation, by metric.
+    needed: requirements that leave an episode unknown; capabilities: the metrics
+    that each capability needs.
+    """
     spark = samples.sparkSession
     parts = []
     for m in METRICS.values():
         if m.family in SIGNAL_FAMILIES and m.level in ("channel", "stream") and (metrics is None or m.name in metrics):
             r = m.run(samples, streams)
             parts.append(r if "channel" in r.columns else r.withColumn("channel", F.lit("")))
-    results = reduce(DataFrame.unionByName, parts).join(streams.select("episode_id", "stream", "taxonomy"), ["episode_id", "stream"], "left")
+    results = G.gated(reduce(DataFrame.unionByName, parts), G.requirements(spark), streams, G.stream_sizes(samples))
+    results = results.join(streams.select("episode_id", "stream", "taxonomy"), ["episode_id", "stream"], "left")
+    target = F.lit(None).cast("double")
+    for name, value in (targets or {}).items():
+        target = F.when(F.col("metric") == name, float(value)).otherwise(target)
+    stuck = integrity.flatline_evidence(samples).select("episode_id", "stream", "channel", F.lit("flatline_pct").alias("metric"), "never_changed")
+    results = results.withColumn("target", target).join(stuck, ["episode_id", "stream", "channel", "metric"], "left")
     resolved = S.resolve(results, P.grades_table(spark, policy), P.bands_table(spark, policy))
     found = S.findings(resolved)
     scores = S.episode_scores(S.family_scores(S.metric_rollup(resolved)))
-    return Grading(resolved, found, scores, S.decisions(samples.select("episode_id").distinct(), found), S.coverage(results))
+    episodes = samples.select("episode_id").distinct()
+    reasons = None
+    if needed is not None:
+        table = spark.createDataFrame([(c, m) for c, names in (capabilities or {}).items() for m in names], "capability string, metric string")
+        payload = streams.join(G.stream_sizes(samples), ["episode_id", "stream"], "left").withColumn("payload", F.when(F.col("rows") > 0, "computed").otherwise("missing"))
+        reasons = E.requirement_reasons(episodes, resolved, payload, E.episode_ledger(results, table), needed)
+    return Grading(resolved, found, scores, S.decisions(episodes, found, reasons), S.coverage(results))
 
 
-def inferred_streams(samples: DataFrame) -> DataFrame:
-    """Streams of a table that declares nothing: regular by its gaps, not certified, in nanoseconds."""
+def inferred_streams(samples: DataFrame, entries: tuple[D.Entry, ...] = D.DEFAULT) -> DataFrame:
+    """Streams of a table that declares nothing: typed by their names, regular by their gaps, not certified, in nanoseconds."""
     base = samples.select("episode_id", "stream").distinct().withColumns({"scale": F.lit(1e-9), "ordered": F.lit(True)})
     known = regularity(samples, base).select("episode_id", "stream", "regular")
-    return base.join(known, ["episode_id", "stream"], "left").select("episode_id", "stream", F.concat(F.lit("unmapped."), "stream").alias("taxonomy"), F.lit("ns").alias("unit"), "scale", F.coalesce("regular", F.lit(False)).alias("regular"), F.lit(False).alias("certified"), "ordered")
+    named = D.resolve_names(base.select(F.col("stream").alias("name")), D.alias_table(samples.sparkSession, entries)).select(F.col("name").alias("stream"), F.col("taxonomy").alias("type"))
+    rows = base.join(known, ["episode_id", "stream"], "left").join(named, "stream", "left")
+    return rows.select("episode_id", "stream", F.coalesce("type", F.concat(F.lit(D.UNMAPPED), "stream")).alias("taxonomy"), F.lit("ns").alias("unit"), "scale", F.coalesce("regular", F.lit(False)).alias("regular"), F.lit(False).alias("certified"), "ordered")
 
 
-def grade(spark: SparkSession, path: str, policy: tuple[P.Grade, ...] = P.DEFAULT) -> Grading:
-    """Grades one file by the adapter that is surest of it."""
+def grade(spark: SparkSession, path: str, policy: tuple[P.Grade, ...] = P.DEFAULT, **options) -> Grading:
+    """Grades one file by the adapter that is surest of it; options: those of grade_samples."""
     from ..sources.tabular import read
 
     samples = read(spark, path)
-    return grade_samples(samples, inferred_streams(samples), policy)
+    return grade_samples(samples, inferred_streams(samples), policy, **options)
 
 
 def compare(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("episode_id", "stream", "channel", "metric")) -> DataFrame:

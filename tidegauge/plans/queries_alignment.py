@@ -163,7 +163,7 @@ def violation_rows(spark, sf_dir):
     e = D.table(spark, sf_dir, "events")
     s = e.select(F.lit("all").alias("episode_id"), F.col("event_type").alias("stream"), F.lit("value").alias("channel"), F.col("event_id").alias("row_idx"), D.micros("ts").alias("native"))
     streams = s.select("episode_id", "stream").distinct().withColumn("scale", F.lit(1e-6))
-    return timing.violation_rows(s, streams, 50)
+    return timing.violation_rows(s, streams)
 
 
 _W = "(PARTITION BY episode_id, stream, channel ORDER BY row_idx)"
@@ -276,5 +276,5 @@ m AS (SELECT episode_id, stream, median(gap) AS med FROM g WHERE gap IS NOT NULL
 SELECT episode_id, stream, round(med, 6) AS median_gap, round(near, 6) AS near_share, med > 0 AND near >= 0.8 AS regular FROM n""",
     "violation_rows": """WITH g AS (SELECT 'all' AS episode_id, event_type AS stream, event_id AS row_idx, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY event_id) AS gap FROM events),
 b AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY row_idx) AS k FROM g WHERE gap <= 0)
-SELECT episode_id, stream, row_idx, CASE WHEN gap = 0 THEN 'repeated' ELSE 'backwards' END AS kind FROM b WHERE k <= 50""",
+SELECT episode_id, stream, row_idx, CASE WHEN gap = 0 THEN 'repeated' ELSE 'backwards' END AS kind FROM b WHERE k <= 100""",
 }

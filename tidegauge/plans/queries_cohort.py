@@ -37,7 +37,7 @@ def motion_variation(spark, sf_dir):
 
 def resampled(spark, sf_dir):
     s = _vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("episode_id"), F.posexplode("x").alias("row_idx", "v"))
-    return D.rounded(H.resampled(s, ("episode_id",), 10))
+    return D.rounded(H.resampled(s, ("episode_id",)))
 
 
 def pooled_moments(spark, sf_dir):
@@ -73,11 +73,6 @@ def cohort_entropy(spark, sf_dir):
 
 
 def effective_dimensions(spark, sf_dir):
-    return D.rounded(H.effective_dimensions(_vectors(spark, sf_dir).withColumn("x", F.slice("x", 1, 8))), 5)
-
-
-def effective_dimensions_whole(spark, sf_dir):
-    """All components; effective_dimensions takes the first 8, as its SQL does."""
     return D.rounded(H.effective_dimensions(_vectors(spark, sf_dir)), 5)
 
 
@@ -230,7 +225,6 @@ QUERIES = {
         cohort_histogram,
         cohort_entropy,
         effective_dimensions,
-        effective_dimensions_whole,
         cohort_outliers,
         session_bootstrap,
         camera_pairs,
@@ -259,7 +253,7 @@ SQL = {
     "near_copies": f"WITH {_P} SELECT label, a, b, round(nrmse, 6) AS nrmse FROM near",
     "nearest_partners": f"WITH {_P}, t AS (SELECT a AS id, b AS partner, nrmse FROM near UNION ALL SELECT b, a, nrmse FROM near) SELECT id, partner, round(nrmse, 6) AS nrmse, place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY nrmse, partner) AS place FROM t) WHERE place <= 5",
     "motion_variation": f"WITH {_P} SELECT label, round(sqrt(2 * avg(var)), 6) AS variation FROM (SELECT label, p, var_samp(c) AS var FROM e GROUP BY ALL) GROUP BY 1",
-    "resampled": f"WITH {_V}, g AS (SELECT vec_id, x, k, k * 63 / 9.0::DOUBLE AS pos FROM v, range(10) r(k)) SELECT vec_id::VARCHAR AS episode_id, 64 AS n, k, round(x[floor(pos)::INT + 1] + (pos - floor(pos)) * (x[least(floor(pos)::INT + 1, 63) + 1] - x[floor(pos)::INT + 1]), 6) + 0.0 AS x FROM g",
+    "resampled": f"WITH {_V}, g AS (SELECT vec_id, x, k, k * 63 / 31.0::DOUBLE AS pos FROM v, range(32) r(k)) SELECT vec_id::VARCHAR AS episode_id, 64 AS n, k, round(x[floor(pos)::INT + 1] + (pos - floor(pos)) * (x[least(floor(pos)::INT + 1, 63) + 1] - x[floor(pos)::INT + 1]), 6) + 0.0 AS x FROM g",
     "pooled_moments": "SELECT o_orderstatus, round(avg(o_totalprice), 3) AS mean, count(*) AS n, round(stddev_pop(o_totalprice), 3) AS std FROM orders GROUP BY 1",
     "camera_fences": "WITH q AS (SELECT p_brand, count(*) AS n, quantile_cont(p_retailprice, 0.25) AS a, median(p_retailprice) AS m, quantile_cont(p_retailprice, 0.75) AS c FROM part GROUP BY 1) SELECT p_brand, n, round(a, 4) AS q1, round(m, 4) AS median, round(c, 4) AS q3, round(a - 1.5 * (c - a), 4) AS low, round(c + 1.5 * (c - a), 4) AS high FROM q",
     "outside_fences": "WITH q AS (SELECT event_type, count(*) AS n, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS c FROM events GROUP BY 1) SELECT event_id, event_type, value FROM events JOIN q USING (event_type) WHERE n >= 5 AND (value < a - 1.5 * (c - a) OR value > c + 1.5 * (c - a))",
@@ -270,8 +264,7 @@ o AS (SELECT event_type, event_id, value, n, (x[CASE WHEN n // 2 >= k THEN n //
 SELECT event_type, event_id, CASE WHEN value / others < 0.25 THEN 'low' ELSE 'high' END AS hint FROM o WHERE n >= 5 AND (value / others < 0.25 OR value / others > 3)""",
     "cohort_histogram": f"WITH {_HIST} SELECT * FROM h",
     "cohort_entropy": f"WITH {_HIST}, t AS (SELECT event_type, sum(n) AS t FROM h WHERE bin >= 0 GROUP BY 1) SELECT event_type, round(-sum(n / t * ln(n / t)), 6) AS entropy FROM h JOIN t USING (event_type) WHERE bin >= 0 GROUP BY 1",
-    "effective_dimensions": f"WITH {_V}, c AS (SELECT label, i, j, covar_samp(x[i], x[j]) AS c FROM v, range(1, 9) a(i), range(1, 9) b(j) GROUP BY ALL) SELECT label, round(pow(sum(c) FILTER (i = j), 2) / sum(c * c), 5) AS dimensions FROM c GROUP BY 1",
-    "effective_dimensions_whole": f"WITH {_V}, c AS (SELECT label, i, j, covar_samp(x[i], x[j]) AS c FROM v, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL) SELECT label, round(pow(sum(c) FILTER (i = j), 2) / sum(c * c), 5) AS dimensions FROM c GROUP BY 1",
+    "effective_dimensions": f"WITH {_V}, c AS (SELECT label, i, j, covar_samp(x[i], x[j]) AS c FROM v, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL) SELECT label, round(pow(sum(c) FILTER (i = j), 2) / sum(c * c), 5) AS dimensions FROM c GROUP BY 1",
     "cohort_outliers": """WITH s AS (SELECT l_linenumber, l_suppkey AS id, f.n AS feature, round(avg(f.x), 6) AS x FROM (SELECT l_linenumber, l_suppkey, unnest([{'n': 'l_quantity', 'x': l_quantity}, {'n': 'l_extendedprice', 'x': l_extendedprice}, {'n': 'l_discount', 'x': l_discount}]) AS f FROM lineitem) GROUP BY ALL),
 m AS (SELECT l_linenumber, feature, median(x) AS m, count(*) AS n FROM s GROUP BY ALL), d AS (SELECT s.*, m, n, abs(x - m) AS d FROM s JOIN m USING (l_linenumber, feature)), a AS (SELECT l_linenumber, feature, median(d) AS mad FROM d GROUP BY ALL)
 SELECT l_linenumber, id, round(sqrt(avg(pow((x - m) / (1.4826 * mad), 2))), 4) AS distance FROM d JOIN a USING (l_linenumber, feature) WHERE mad > 0 AND n >= 5 GROUP BY ALL""",

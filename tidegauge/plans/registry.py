@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_alignment, queries_cohort, queries_metrics, queries_scoring, queries_vision
+from . import queries_alignment, queries_cameras, queries_cohort, queries_gates, queries_metrics, queries_scoring, queries_vision
 
-_MODULES = (queries_metrics, queries_scoring, queries_alignment, queries_cohort, queries_vision)
+_MODULES = (queries_metrics, queries_scoring, queries_alignment, queries_cohort, queries_vision, queries_gates, queries_cameras)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

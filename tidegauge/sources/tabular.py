@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import normalised
+from ..functions.names import UNIT_END, normalised
 from .walk import adapter, head
 
 ROW = "_row_idx"
@@ -171,6 +171,10 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return flattened(with_row_index(spark.read.json(path, multiLine=True)))
 
 
+#: Rows that one task orders in a table without an entity.
+STRETCH = 1 << 20
+
+
 def _numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if f.name != ROW and isinstance(f.dataType, (T.NumericType, T.BooleanType))]
 
@@ -185,21 +189,26 @@ def infer(df: DataFrame) -> TableSchema:
             score = 0.4 * bool(ENTITY_NAME.search(c)) + 0.6 * (1 - r[c] / max(1, r["_n"]))
             if score >= ACCEPT_ENTITY and score > best:
                 entity, best = c, score
-    w = Window.partitionBy(*([F.col(f"`{entity}`")] if entity else [F.lit(0)])).orderBy(ROW)
     numbers = _numeric(df)
     if not numbers:
         raise UnresolvedSource("no numeric columns")
-    steps = df.select(*[(F.col(f"`{c}`").cast("double") - F.lag(F.col(f"`{c}`").cast("double")).over(w)).alias(c) for c in numbers])
+    # without an entity rows are ordered in stretches, each of which has the last row before it for its first step
+    part, lead = F.floor(F.col(ROW) / STRETCH), (F.col(ROW) + 1) % STRETCH == 0
+    parts = F.array(F.struct(part.alias("part"), F.lit(False).alias("lead")))
+    parts = F.when(lead, F.concat(parts, F.array(F.struct((part + 1).alias("part"), F.lit(True).alias("lead"))))).otherwise(parts)
+    rows = df.select("*", F.lit(False).alias("_lead")) if entity else df.select("*", F.explode(parts).alias("_p")).select("*", F.col("_p.lead").alias("_lead"))
+    w = Window.partitionBy(F.col(f"`{entity}`") if entity else F.col("_p.part")).orderBy(ROW)
+    steps = rows.select("_lead", *[(F.col(f"`{c}`").cast("double") - F.lag(F.col(f"`{c}`").cast("double")).over(w)).alias(c) for c in numbers]).where("NOT _lead")
     stats = steps.agg(*[F.avg((F.col(f"`{c}`") >= 0).cast("double")).alias(f"up{i}") for i, c in enumerate(numbers)], *[F.median(F.when(F.col(f"`{c}`") > 0, F.col(f"`{c}`"))).alias(f"gap{i}") for i, c in enumerate(numbers)]).first()
     found = []
     for i, c in enumerate(numbers):
         if stats[f"up{i}"] is None or stats[f"gap{i}"] is None:
             continue
         score = 0.45 * bool(TIME_NAME.search(c)) + 0.55 * stats[f"up{i}"]
-        named = re.search(r"(?i)(?:_|_in_|\(|\[)(s|ms|us|ns)[)\]]?$", c)
+        named = re.search(UNIT_END, c.lower())
         gap = stats[f"gap{i}"]
         size = "s" if gap < 1 else "ms" if gap < 1e3 else "us" if gap < 1e6 else "ns"
-        named_unit = named.group(1).lower() if named else None
+        named_unit = re.sub("sec$", "s", named.group(1)) if named else None
         score *= 1.0 if named_unit == size else 0.8 if named_unit else 0.9
         found.append((score, -i, c, size))
     best_time = max(found, default=(0.0, 0, None, None))
