@@ -230,3 +230,119 @@ def test_sparse_sites_are_near_their_parents(spark):
     mean, n = F.col("s") / F.col("n"), F.col("n")
     assert bayes_quality.strength(g, mean, n, F.lit(0.55)) < 10
     assert bayes_quality.strength(g.withColumn("s", F.lit(5.5)), mean, n, F.lit(0.55)) == bayes_quality.STRONGEST
+
+
+def test_posteriors_are_those_of_a_plain_computation_and_sites_decide(spark):
+    import random
+
+    rng = random.Random(4)
+    good, bad, any_ = ([f"{k}{i}" for i in range(40)] for k in "gbn")
+    rows, labels = [], []
+    for i in range(1500):
+        site = i % 3
+        fine = rng.random() < (0.95, 0.5, 0.05)[site]
+        words = [rng.choice((good if fine else bad) if rng.random() < 0.3 else any_) for _ in range(30)]
+        rows.append((i, " ".join(words), f"h{site}", "p" if i % 2 else None))
+        if i < 900:
+            labels.append((i, int(fine), 0))
+    rows += [(5000 + k, "nothing known", f"h{k}", "p") for k in (0, 2)] + [(6000, None, None, None), (0, rows[0][1], "h0", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    got = bayes_quality.hierarchical_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.col("host"), F.col("path")).collect()
+    assert len(got) == len(rows)
+    # the same from p_doc alone: means left out of themselves, shrunk to their parents
+    where = {}
+    for i, _, h, p in rows:
+        where.setdefault(i, []).append((h or "", p or ""))
+    each = []
+    for r in sorted(got, key=lambda r: r.doc_id):
+        for key in where[r.doc_id]:
+            each.append((*key, r.p_doc))
+        where[r.doc_id] = []
+    prior = (sum(x for *_, x in each) + 0.5) / (len(each) + 1)
+    group = lambda f: {k: [x for h, p, x in each if f(h, p) == k] for k in {f(h, p) for h, p, _ in each}}
+    hosts, paths = group(lambda h, p: h), group(lambda h, p: (h, p))
+
+    def weight(groups, parent):
+        free = sum(len(v) - 1 for v in groups.values())
+        within = sum(sum(x * x for x in v) - sum(v) ** 2 / len(v) for v in groups.values()) / free
+        found = sum(len(v) * (sum(v) / len(v) - parent(k)) ** 2 for k, v in groups.items())
+        own = (found - within * len(groups)) / len(each)
+        return min(bayes_quality.STRONGEST, within / own) if own > 0 else bayes_quality.STRONGEST
+
+    kh = weight(hosts, lambda k: prior)
+    kp = weight(paths, lambda k: (kh * prior + sum(hosts[k[0]])) / (kh + len(hosts[k[0]])))
+    home = {i: (h or "", p or "") for i, _, h, p in rows if i not in (0,)}
+    for r in got:
+        if r.doc_id in home:
+            h, p = home[r.doc_id]
+            rest = (kh * prior + sum(hosts[h]) - r.p_doc) / (kh + len(hosts[h]) - 1)
+            site = min(max((kp * rest + sum(paths[h, p]) - r.p_doc) / (kp + len(paths[h, p]) - 1), 1e-6), 1 - 1e-6)
+            odds = math.log(r.p_doc / (1 - r.p_doc)) + math.log(site / (1 - site)) - math.log(prior / (1 - prior))
+            assert r.posterior == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-6)
+    by = {r.doc_id: r for r in got}
+    assert by[5000].p_doc == pytest.approx(by[5002].p_doc) and by[5000].kept and not by[5002].kept
+
+
+def plain_links(rows):
+    """quotations.link_quotations, by looking at every message for every passage."""
+    said, out = {}, {}
+    for c, t, _, text in rows:
+        if c is not None and t is not None:
+            for x in quotations.pieces(quotations.parse(text)[0]):
+                said.setdefault(x, set()).add((c, t))
+    for c, t in {(c, t) for c, t, *_ in rows if c is not None and t is not None}:
+        best, n = None, 0
+        for text in [x for a, b, _, x in rows if (a, b) == (c, t)][:1]:
+            for level, passage in quotations.parse(text)[1]:
+                source = None
+                for x in quotations.pieces(passage):
+                    here = [(a, b) for a, b in said.get(x, ()) if a == c]
+                    first = min(here) if here else None
+                    other = min(((a, min(q for p, q in said[x] if p == a)) for a in {a for a, _ in said.get(x, ())} if a != c), default=None)
+                    source = first if first and first[1] < t else other
+                    if source:
+                        break
+                if source:
+                    n += 1
+                    if level == 1:
+                        mark = (source[0] == c, source[1], source[0])
+                        best = mark if best is None or mark > best else best
+        out[c, t] = (n, best and best[2], best and best[1])
+    roots = {}
+    for c, t in out:
+        at, depth = t, 0
+        while out[c, at][1] == c:
+            at, depth = out[c, at][2], depth + 1
+        roots[c, t] = at, depth
+    return {k: (*v, *roots[k]) for k, v in out.items()}
+
+
+def test_quotations_of_the_tables_own_messages(spark):
+    """Messages of the table, of which half quote earlier ones of their own or of other conversations, some at two levels, some twice the same."""
+    import random
+
+    rng = random.Random(9)
+    raw = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").limit(150).collect()]
+    mark = lambda text, by="> ": "\n".join(by + x for x in (text or "").split("\n"))
+    rows, seen = [], set()
+    for c, t, role, text in raw:
+        if (c, t) in seen:
+            continue
+        seen.add((c, t))
+        if rows and rng.random() < 0.6:
+            quoted = rng.choice([r for r in rows if r[0] == c] or rows) if rng.random() < 0.7 else rng.choice(rows)
+            body = quotations.parse(quoted[3])[0]
+            text = f"{mark(body)}\n{mark(body.upper(), '>> ') if rng.random() < 0.2 else ''}\n{text}"
+        rows.append((c, t, role, text))
+    long = "word " * 60_000
+    rows += [(10**6, 0, "user", long), (10**6, 1, "assistant", mark(long) + "\nyes"), (10**6, 2, "user", "yes"), (10**6, 3, "user", "> yes\nno"), (10**6 + 1, 0, None, ""), (10**6 + 1, 1, "user", ">\n> \n"), (None, 1, "user", "> yes")]
+    got = quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    want = plain_links(rows)
+    assert len(got) == len(rows)
+    linked = 0
+    for r in got:
+        if r.conv_id is not None:
+            assert (r.n_linked, r.reply_conv, r.reply_turn, r.root_turn, r.depth) == want[r.conv_id, r.turn], (r, want[r.conv_id, r.turn])
+            assert ">" not in r.body or not r.n_quotes
+            linked += r.n_linked
+    assert linked > 20

@@ -118,13 +118,15 @@ def _evidence(batches: Iterator[pa.RecordBatch], quality: Linear, toxic: Linear)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("host"), part.column("path"), pa.array(q), pa.array(t), pa.array(np.clip(q * (1 - t), 1e-6, 1 - 1e-6))], names=["doc_id", "host", "path", "p_quality", "p_toxic", "p_doc"])
 
 
-def strength(groups: DataFrame, mean: Column, n: Column, parent: Column) -> float:
+def strength(groups: DataFrame, mean: Column, n: Column, parent: Column, within: float | None = None) -> float:
     """The weight of a parent's mean, in documents, by moments.
 
     With e = mean - parent: the sum of n * e**2 is what sampling explains, the
-    sum of parent * (1 - parent), and beyond it the groups' own variance.
+    variance of single documents once for each group, and beyond it the groups'
+    own variance.  ``within`` is that variance as observed within groups; without
+    it the greatest that chances of this mean can have, parent * (1 - parent).
     """
-    noise = parent * (1 - parent)
+    noise = parent * (1 - parent) if within is None else F.lit(float(within))
     k, sampled, found, weight = groups.agg(F.count("*"), F.sum(noise), F.sum(n * (mean - parent) ** 2), F.sum(n)).first()
     if not k or not weight or not sampled:
         return STRONGEST
@@ -132,6 +134,12 @@ def strength(groups: DataFrame, mean: Column, n: Column, parent: Column) -> floa
     return min(STRONGEST, (sampled / k) / own) if own > 0 else STRONGEST
 
 
+def spread_within(groups: DataFrame, n: str, s: str, q: str) -> float | None:
+    """The variance of single documents within their groups, from each group's number, sum and sum of squares; none if no group has two."""
+    squares, free = groups.agg(F.sum(F.col(q) - F.col(s) * F.col(s) / F.col(n)), F.sum(F.col(n) - 1)).first()
+    return max(0.0, squares / free) if free else None
+
+
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
@@ -158,11 +166,11 @@ def hierarchical_quality(docs: DataFrame, labels: DataFrame, host: Column, path:
     scored = written(rows.mapInArrow(partial(_evidence, quality=heads[0], toxic=heads[1]), f"doc_id {kind}, host string, path string, p_quality double, p_toxic double, p_doc double"), "evidence")
     n_all, s_all = scored.agg(F.count("*"), F.coalesce(F.sum("p_doc"), F.lit(0.0))).first()
     prior = (s_all + 0.5) / (n_all + 1)
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n_path"), F.sum("p_doc").alias("s_path"))
-    hosts = paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host"))
-    k_host = strength(hosts, F.col("s_host") / F.col("n_host"), F.col("n_host"), F.lit(prior))
+    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n_path"), F.sum("p_doc").alias("s_path"), F.sum(F.col("p_doc") * F.col("p_doc")).alias("q_path"))
+    hosts = paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host"), F.sum("q_path").alias("q_host"))
+    k_host = strength(hosts, F.col("s_host") / F.col("n_host"), F.col("n_host"), F.lit(prior), spread_within(hosts, "n_host", "s_host", "q_host"))
     sites = paths.join(hosts, "host").withColumn("m_host", (F.lit(k_host * prior) + F.col("s_host")) / (F.lit(k_host) + F.col("n_host")))
-    k_path = strength(sites, F.col("s_path") / F.col("n_path"), F.col("n_path"), F.col("m_host"))
+    k_path = strength(sites, F.col("s_path") / F.col("n_path"), F.col("n_path"), F.col("m_host"), spread_within(paths, "n_path", "s_path", "q_path"))
     both = scored.join(sites, ["host", "path"])
     host_rest = (F.lit(k_host * prior) + F.col("s_host") - F.col("p_doc")) / (F.lit(k_host) + F.col("n_host") - 1)
     site = (F.lit(k_path) * host_rest + F.col("s_path") - F.col("p_doc")) / (F.lit(k_path) + F.col("n_path") - 1)

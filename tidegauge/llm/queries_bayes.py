@@ -1,4 +1,4 @@
-"""The query of the quality classifier; its test is held-out accuracy."""
+"""The query of the quality classifier; its tests are held-out accuracy and a plain computation of its posteriors."""
 
 from __future__ import annotations
 
