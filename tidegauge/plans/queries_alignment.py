@@ -159,9 +159,9 @@ def regularity(spark, sf_dir):
 
 
 def violation_rows(spark, sf_dir):
-    """In order of ids, event times go backwards."""
+    """In an order that scatters the ids, event times go backwards."""
     e = D.table(spark, sf_dir, "events")
-    s = e.select(F.lit("all").alias("episode_id"), F.col("event_type").alias("stream"), F.lit("value").alias("channel"), F.col("event_id").alias("row_idx"), D.micros("ts").alias("native"))
+    s = e.select(F.lit("all").alias("episode_id"), F.col("event_type").alias("stream"), F.lit("value").alias("channel"), (F.col("event_id") * 7919 % 1000003).alias("row_idx"), D.micros("ts").alias("native"))
     streams = s.select("episode_id", "stream").distinct().withColumn("scale", F.lit(1e-6))
     return timing.violation_rows(s, streams)
 
@@ -274,7 +274,7 @@ FROM (SELECT *, o_orderkey - row_number() OVER (PARTITION BY o_custkey ORDER BY
     "regularity": f"""WITH {D.EVENTS}, g AS (SELECT s.episode_id, s.stream, (native - lag(native) OVER (PARTITION BY s.episode_id, s.stream ORDER BY row_idx)) * scale AS gap FROM samples s JOIN streams USING (episode_id, stream)),
 m AS (SELECT episode_id, stream, median(gap) AS med FROM g WHERE gap IS NOT NULL GROUP BY ALL), n AS (SELECT g.episode_id, g.stream, first(med) AS med, avg(CASE WHEN abs(gap - med) <= 0.3 * med THEN 1.0 ELSE 0.0 END) AS near FROM g JOIN m USING (episode_id, stream) WHERE gap IS NOT NULL GROUP BY ALL)
 SELECT episode_id, stream, round(med, 6) AS median_gap, round(near, 6) AS near_share, med > 0 AND near >= 0.8 AS regular FROM n""",
-    "violation_rows": """WITH g AS (SELECT 'all' AS episode_id, event_type AS stream, event_id AS row_idx, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY event_id) AS gap FROM events),
+    "violation_rows": """WITH g AS (SELECT 'all' AS episode_id, event_type AS stream, event_id * 7919 % 1000003 AS row_idx, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY event_id * 7919 % 1000003) AS gap FROM events),
 b AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY row_idx) AS k FROM g WHERE gap <= 0)
 SELECT episode_id, stream, row_idx, CASE WHEN gap = 0 THEN 'repeated' ELSE 'backwards' END AS kind FROM b WHERE k <= 100""",
 }
