@@ -112,3 +112,58 @@ def test_compact_json_round_trip():
     records = [{"metric": "a", "value": 1.5, "nested": {"metric": "b"}}, {"metric": "c"}]
     assert G.read_compact(G.compact_json(records)) == records
     assert G.without_defaults({"a": "", "b": {"c": None}, "d": 0}) == {"d": 0}
+
+
+def test_grading_a_tree_with_its_contracts(spark, tmp_path):
+    root = tmp_path / "set"
+    (root / "meta").mkdir(parents=True)
+    features = {"observation.state": {"dtype": "float32"}, "action": {"dtype": "float32"}, "observation.image": {"dtype": "video"}}
+    (root / "meta" / "info.json").write_text(json.dumps({"codebase_version": "v2.1", "fps": 30, "features": features}))
+    (root / "meta" / "episodes.jsonl").write_text("\n".join(json.dumps({"episode_index": e, "tasks": tasks, "length": 8}) for e, tasks in ((0, ["pick"]), (2, []))))
+    rows = spark.range(14).select(F.when(F.col("id") < 8, 0).otherwise(1).cast("bigint").alias("episode_index"), (F.col("id") % 8).alias("frame_index"), ((F.col("id") % 8) / 30).cast("float").alias("timestamp"), F.col("id").alias("index"), F.array(F.col("id") * 1.0, F.lit(2.0)).alias("observation.state"))
+    rows.write.parquet(str(root / "data"))
+    assert walk.kind(spark, str(root)) == "tree"
+    assert lerobot.declared(spark, str(root)) == {"observation.state": "float32", "action": "float32"}
+    g = G.grade(spark, str(root), metrics=("missing_pct", "effective_hz", "recorded_hz"))
+    got = {(r.metric, r.episode_id): r.value for r in g.results.where("stream = ''").collect()}
+    assert [got["episode_not_in_metadata", e] for e in "012"] == [0.0, 1.0, 0.0]
+    assert got["index_range_mismatch_count", "0"] == 0.0 and got["index_range_mismatch_count", "2"] is None
+    assert got["task_instruction_missing", "0"] == 0.0 and got["task_instruction_missing", "2"] == 1.0
+    assert got["feature_mismatch_count", "0"] == 1.0  # action has no column
+    assert {r.episode_id: r.decision for r in g.decisions.collect()} == {e: "blocked" for e in "012"}
+    # stamps are frame numbers over the rate: no clock of the recording's own
+    assert g.results.where("metric = 'effective_hz' AND value IS NOT NULL").isEmpty()
+    assert g.results.where("metric = 'recorded_hz' AND episode_id = '0'").first().value == pytest.approx(30, rel=1e-4)
+
+
+def test_grading_a_folder_file_by_file(spark, arm, tmp_path):
+    root = tmp_path / "many"
+    (root / "left").mkdir(parents=True)
+    text = open(arm).read()
+    (root / "a.csv").write_text(text)
+    (root / "left" / "a.csv").write_text(text)
+    (root / "empty.csv").write_text("")
+    (root / "notes.md").write_text("no recording")
+    samples, without = tabular.read_folder(spark, str(root))
+    assert {r.episode_id: r["count"] for r in samples.groupBy("episode_id").count().collect()} == {"a.csv": 160, "left/a.csv": 160}
+    assert {r.path: r.reason.rsplit(": ", 1)[-1] for r in without.collect()} == {"empty.csv": "empty", "notes.md": "no adapter reads it"}
+    g = G.grade(spark, str(root), metrics=("missing_pct", "drift"))
+    assert {r.episode_id for r in g.decisions.collect()} == {"a.csv", "left/a.csv"}
+    with pytest.raises(tabular.UnresolvedSource, match="limits"):
+        tabular.read_folder(spark, str(root), max_files=3)
+    with pytest.raises(FileNotFoundError):
+        walk.kind(spark, str(root / "nowhere"))
+    (root / "none").mkdir()
+    assert tabular.read_folder(spark, str(root / "none"))[0].isEmpty()
+
+
+def test_a_saved_report_is_read_again_and_agrees(spark, arm, tmp_path):
+    path = str(tmp_path / "report")
+    G.grade(spark, arm, metrics=("missing_pct", "drift", "flatline_pct")).write(path)
+    g = G.load(spark, path)
+    assert "pass" in g.card() and G.disagreements(g).isEmpty()
+    torn = G.Grading(g.results, g.findings.limit(0), g.scores.withColumn("score", F.lit(101.0)), g.decisions.union(g.decisions), g.coverage)
+    flagged = g.results.where("status IN ('warning', 'critical')").count()
+    got = {r.rule: r["count"] for r in G.disagreements(torn).groupBy("rule").count().collect()}
+    assert got.get("a flagged result without its finding", 0) == flagged
+    assert got["a score out of range"] == got["an episode decided twice"] == 1

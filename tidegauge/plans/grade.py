@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import contracts as C
 from ..operators import dictionary as D
 from ..operators import gates as G
 from ..operators import integrity, motion, timing  # noqa: F401
@@ -34,7 +35,7 @@ class Grading:
     def write(self, path: str) -> None:
         """Each table under a folder; the suffix chooses the format (.json, .csv, else Parquet)."""
         kind = path.rsplit(".", 1)[-1].lower()
-        for name in ("results", "findings", "scores", "decisions", "coverage"):
+        for name in TABLES:
             df = getattr(self, name)
             writer = df.write.mode("overwrite")
             (writer.json if kind == "json" else writer.option("header", True).csv if kind == "csv" else writer.parquet)(f"{path}/{name}")
@@ -55,12 +56,14 @@ def grade_samples(
     targets: dict[str, float] | None = None,
     needed: E.Requirements | None = None,
     capabilities: dict[str, tuple[str, ...]] | None = None,
+    extra: DataFrame | None = None,
 ) -> Grading:
     """Grades recordings: every metric on the streams that meet its requirements.
 
     targets: what a metric is graded against where that is a deviation, by metric.
     needed: requirements that leave an episode unknown; capabilities: the metrics
-    that each capability needs.
+    that each capability needs.  extra: results of whole episodes (contracts), whose
+    episodes are decided even if they have no samples.
     """
     spark = samples.sparkSession
     parts = []
@@ -75,10 +78,15 @@ def grade_samples(
         target = F.when(F.col("metric") == name, float(value)).otherwise(target)
     stuck = integrity.flatline_evidence(samples).select("episode_id", "stream", "channel", F.lit("flatline_pct").alias("metric"), "never_changed")
     results = results.withColumn("target", target).join(stuck, ["episode_id", "stream", "channel", "metric"], "left")
+    if extra is not None:
+        whole = extra.withColumns({"stream": F.lit(""), "channel": F.lit("")})
+        results = results.unionByName(whole, allowMissingColumns=True)
     resolved = S.resolve(results, P.grades_table(spark, policy), P.bands_table(spark, policy))
     found = S.findings(resolved)
     scores = S.episode_scores(S.family_scores(S.metric_rollup(resolved)))
     episodes = samples.select("episode_id").distinct()
+    if extra is not None:
+        episodes = episodes.union(extra.select("episode_id")).distinct()
     reasons = None
     if needed is not None:
         table = spark.createDataFrame([(c, m) for c, names in (capabilities or {}).items() for m in names], "capability string, metric string")
@@ -87,23 +95,78 @@ def grade_samples(
     return Grading(resolved, found, scores, S.decisions(episodes, found, reasons), S.coverage(results))
 
 
-def inferred_streams(samples: DataFrame, entries: tuple[D.Entry, ...] = D.DEFAULT) -> DataFrame:
-    """Streams of a table that declares nothing: typed by their names, regular by their gaps, not certified, in nanoseconds."""
+def inferred_streams(samples: DataFrame, entries: tuple[D.Entry, ...] = D.DEFAULT, certified: bool = False) -> DataFrame:
+    """Streams of a table that declares nothing: typed by their names, regular by their gaps, in nanoseconds; not certified unless said so."""
     base = samples.select("episode_id", "stream").distinct().withColumns({"scale": F.lit(1e-9), "ordered": F.lit(True)})
     known = regularity(samples, base).select("episode_id", "stream", "regular")
     named = D.resolve_names(base.select(F.col("stream").alias("name")), D.alias_table(samples.sparkSession, entries)).select(F.col("name").alias("stream"), F.col("taxonomy").alias("type"))
     rows = base.join(known, ["episode_id", "stream"], "left").join(named, "stream", "left")
-    return rows.select("episode_id", "stream", F.coalesce("type", F.concat(F.lit(D.UNMAPPED), "stream")).alias("taxonomy"), F.lit("ns").alias("unit"), "scale", F.coalesce("regular", F.lit(False)).alias("regular"), F.lit(False).alias("certified"), "ordered")
+    return rows.select("episode_id", "stream", F.coalesce("type", F.concat(F.lit(D.UNMAPPED), "stream")).alias("taxonomy"), F.lit("ns").alias("unit"), "scale", F.coalesce("regular", F.lit(False)).alias("regular"), F.lit(certified).alias("certified"), "ordered")
+
+
+def contract_results(spark: SparkSession, root: str) -> DataFrame:
+    """What a tree's index and declared features say against its rows, for each episode of either side."""
+    from ..sources import lerobot
+
+    data, index = lerobot.data(spark, root), lerobot.index_rows(spark, root)
+    rows = data.select(F.col("episode_index").cast("string").alias("episode_id"), "index")
+    parts = [C.episode_not_in_metadata(index, rows), C.index_range_mismatch_count(index, rows), C.task_instruction_missing(index)]
+    declared = lerobot.declared(spark, root)
+    if declared:
+        parts.append(C.feature_mismatch_count(index, data, declared))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def grade(spark: SparkSession, path: str, policy: tuple[P.Grade, ...] = P.DEFAULT, **options) -> Grading:
-    """Grades one file by the adapter that is surest of it; options: those of grade_samples."""
-    from ..sources.tabular import read
+    """Grades what lies at a path; options: those of grade_samples.
 
-    samples = read(spark, path)
+    A file is read by the adapter that is surest of it, a folder file by file, each
+    an episode.  A tree of episodes is one scan, graded with its contracts; its clock
+    is certified unless stamps are just frame numbers over the declared rate.
+    """
+    from ..sources import lerobot, tabular, walk
+
+    kind = walk.kind(spark, path)
+    if kind == "tree":
+        samples, fps = lerobot.samples(spark, path), lerobot.info(spark, path).get("fps")
+        certified = bool(fps) and not lerobot.reconstructed_clock(lerobot.data(spark, path), float(fps))
+        return grade_samples(samples, inferred_streams(samples, certified=certified), policy, extra=contract_results(spark, path), **options)
+    samples = tabular.read(spark, path) if kind == "file" else tabular.read_folder(spark, path)[0]
     return grade_samples(samples, inferred_streams(samples), policy, **options)
 
 
+TABLES = ("results", "findings", "scores", "decisions", "coverage")
+
+
+def load(spark: SparkSession, path: str) -> Grading:
+    """A grading that ``write`` left as Parquet; the text formats don't keep types and are not read again."""
+    return Grading(*[spark.read.parquet(f"{path}/{t}") for t in TABLES])
+
+
+def disagreements(g: Grading) -> DataFrame:
+    """(rule, episode_id, address) where a grading's tables contradict each other; empty for a sound one."""
+    keys = ["episode_id", "stream", "channel", "metric"]
+    at = F.concat_ws("/", "stream", "channel", "metric").alias("address")
+    flagged = g.results.where("status IN ('warning', 'critical')")
+    none = F.lit("").alias("address")
+
+    def broken(rule: str, rows: DataFrame, address=none) -> DataFrame:
+        return rows.select(F.lit(rule).alias("rule"), "episode_id", address)
+
+    blocking = g.findings.where("consequence = 'block'").select("episode_id").distinct()
+    found = [
+        broken("a finding without its result", g.findings.join(flagged, keys, "left_anti"), at),
+        broken("a flagged result without its finding", flagged.join(g.findings, keys, "left_anti"), at),
+        broken("a value beside a reason", g.results.where("value IS NOT NULL AND reason IS NOT NULL"), at),
+        broken("points out of range", g.results.where("points < 0 OR points > 100"), at),
+        broken("a score out of range", g.scores.where("score < 0 OR score > 100")),
+        broken("an episode decided twice", g.decisions.groupBy("episode_id").count().where("count > 1")),
+        broken("a score without a decision", g.scores.join(g.decisions, "episode_id", "left_anti")),
+        broken("a blocking finding, not blocked", g.decisions.where("decision <> 'blocked'").join(blocking, "episode_id", "left_semi")),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def compare(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("episode_id", "stream", "channel", "metric")) -> DataFrame:
     """Results of two gradings by address: added, removed, changed or same; an address that is not unique is an error."""
     for side in (old, new):

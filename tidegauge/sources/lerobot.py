@@ -39,6 +39,20 @@ def episode_index(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema("episode_index bigint, tasks array<string>, length bigint").json(f"{root}/meta/episodes.jsonl")
 
 
+def index_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The index as contracts ask for it: episode_id, tasks, length, from_index, to_index; null where the tree doesn't say."""
+    index = episode_index(spark, root)
+    wanted = {"tasks": ("tasks", "array<string>"), "length": ("length", "bigint"), "from_index": ("dataset_from_index", "bigint"), "to_index": ("dataset_to_index", "bigint")}
+    cols = [(F.col(c) if c in index.columns else F.lit(None)).cast(t).alias(n) for n, (c, t) in wanted.items()]
+    return index.select(F.col("episode_index").cast("string").alias("episode_id"), *cols)
+
+
+def declared(spark: SparkSession, root: str) -> dict[str, str]:
+    """The declared type of each feature that has a column; images and videos lie elsewhere."""
+    features = info(spark, root).get("features") or {}
+    return {n: str(f["dtype"]) for n, f in features.items() if isinstance(f, dict) and f.get("dtype") not in (None, "image", "video")}
+
+
 def episodes(spark: SparkSession, root: str) -> DataFrame:
     """Every episode of either side: rows, whether listed, length; and so the orphans of both."""
     rows = data(spark, root).groupBy("episode_index").agg(F.count("*").alias("rows"), F.min("index").alias("lo"), (F.max("index") + 1).alias("hi"), F.count_distinct("source").alias("files"))

@@ -10,14 +10,17 @@ from __future__ import annotations
 import csv
 import json
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import UNIT_END, normalised
-from .walk import adapter, head
+from ..model import SAMPLES
+from .walk import adapter, head, listing, within_limits
 
 ROW = "_row_idx"
 # Factors to seconds, and the names that speak for a time axis or an entity.
@@ -228,12 +231,50 @@ def to_samples(df: DataFrame, schema: TableSchema, episode_id: str) -> DataFrame
     return long.select(F.lit(episode_id).alias("episode_id"), stream.alias("stream"), "m.channel", "row_idx", F.round(F.col("raw") * factor * 1e9).cast("bigint").alias("native"), (F.col("raw") * factor).alias("t"), "m.v")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of one file by the adapter that is surest of it."""
+def read(spark: SparkSession, path: str, episode_id: str | None = None) -> DataFrame:
+    """Samples of one file by the adapter that is surest of it; the episode is named after the file if not given."""
     from .walk import select
 
     a = select(spark, path)
     if a is None:
         raise UnresolvedSource(f"{path}: no adapter reads it")
     df = a.read(spark, path)
-    return to_samples(df, infer(df), path.rsplit("/", 1)[-1])
+    return to_samples(df, infer(df), episode_id or path.rsplit("/", 1)[-1])
+
+
+def read_folder(spark: SparkSession, root: str, max_bytes: int = 20_000_000_000, max_files: int = 10_000, workers: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Samples of all files below a folder, and (path, reason) of those that hold none.
+
+    Each file is inferred by itself and is an episode named by its path below the
+    root.  The plan has a branch for each file: what is too large for the limits
+    is refused, and belongs in a Parquet tree, which is one scan.
+    """
+    from .walk import AmbiguousSource
+
+    files = listing(spark, root)
+    fits, n, size = within_limits(files, max_bytes, max_files)
+    if not fits:
+        raise UnresolvedSource(f"{root}: {n} files of {size} bytes are beyond the limits")
+    found = files.collect()  # bounded by max_files
+    top = _top(spark, root)
+
+    def one(f):
+        name = f.path.removeprefix(top)
+        if f.state != "candidate":
+            return name, None, f.state
+        try:
+            return name, read(spark, f.path, name), None
+        except (UnresolvedSource, AmbiguousSource) as x:
+            return name, None, str(x)
+
+    with ThreadPoolExecutor(workers) as pool:
+        read_files = list(pool.map(one, found))
+    parts = [df for _, df, _ in read_files if df is not None]
+    samples = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SAMPLES)
+    return samples, spark.createDataFrame([(name, why) for name, df, why in read_files if df is None], "path string, reason string")
+
+
+def _top(spark: SparkSession, root: str) -> str:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p).getPath().toString().rstrip("/") + "/"

@@ -23,6 +23,18 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(sorted(rows), "path string, length bigint, state string")
 
 
+def kind(spark: SparkSession, path: str) -> str:
+    """What lies at a path: ``tree`` (a folder with meta/info.json), ``folder`` or ``file``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    if not fs.getFileStatus(p).isDirectory():
+        return "file"
+    return "tree" if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "meta/info.json")) else "folder"
+
+
 def within_limits(files: DataFrame, max_bytes: int = 20_000_000_000, max_files: int = 10_000) -> tuple[bool, int, int]:
     n, size = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     return n <= max_files and size <= max_bytes, n, size
