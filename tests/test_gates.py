@@ -123,3 +123,12 @@ def test_scopes_and_targets():
     video = {g.metric: g for g in E.scoped(P.DEFAULT, E.Requirements(capabilities=("video_quality",)), {"video_quality": {"spike_pct": {"good": 1.0}}})}
     assert not video["sharpness_score"].report_only and video["spike_pct"].good == 1.0
     assert E.declared_targets({"effective_hz": "fps", "x": "none", "y": "flag"}, {"fps": 30, "flag": True}) == {"effective_hz": 30.0}
+
+
+def test_an_episode_is_in_the_file_that_its_index_names(spark):
+    from tidegauge.operators import contracts as C
+
+    index = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None)], "episode_id string, file string")
+    rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "episode_id string, file string")
+    got = {r.episode_id: (r.value, r.reason) for r in C.episode_file_mismatch(index, rows).collect()}
+    assert got == {"a": (0.0, None), "b": (1.0, None), "c": (None, "no file is named")}

@@ -62,3 +62,51 @@ def test_stamps(spark):
     assert V.pts_defect_pct(df).first().value == pytest.approx(40)
     assert V.max_gap_s(df).first().value == pytest.approx(0.4)
     assert V.max_gap_s(df.limit(1)).first().reason == "too few packets"
+
+
+HEADERS = "episode_id string, camera string, opens boolean, first_decodes boolean, frames_decode boolean, width int, height int, fps double, codec string, pix_fmt string"
+
+
+def test_headers_against_declaration_and_delivery(spark):
+    headers = spark.createDataFrame(
+        [
+            ("e", "good", True, True, True, 640, 480, 29.99, "h264", "yuv420p"),
+            ("e", "small", True, True, False, 320, 240, 15.0, "mjpeg", "yuv420p"),
+            ("e", "shut", False, None, None, None, None, None, None, None),
+        ],
+        HEADERS,
+    )
+    declared = spark.createDataFrame([("e", "good", 640, 480, 30.0, None), ("e", "small", 640, 480, 30.0, "rgb24")], "episode_id string, camera string, width int, height int, fps double, pix_fmt string")
+    at = lambda df: {r.camera: (r.value, r.reason) for r in df.collect()}
+    assert at(V.camera_stream_present(headers)) == {"good": (1.0, None), "small": (1.0, None), "shut": (0.0, None)}
+    assert at(V.frames_readable(headers)) == {"good": (1.0, None), "small": (0.0, None), "shut": (None, "the file doesn't open")}
+    assert at(V.video_format_consistency(headers, declared)) == {"good": (0.0, None), "small": (4.0, None), "shut": (0.0, None)}
+    assert at(V.delivery_spec_met(headers, width=640, height=480, fps=30.0, codecs=("h264",))) == {"good": (1.0, None), "small": (0.0, None), "shut": (0.0, None)}
+
+
+CHANGES = "episode_id string, camera string, frame_idx bigint, pts double, change double"
+
+
+def test_a_picture_that_jumps_where_the_control_does_not(spark):
+    def found(at, control_too, n=60):
+        changes = spark.createDataFrame([("e", "c", i, i / 10, 100.0 if i == at else 1.0 + i % 2) for i in range(n)], CHANGES)
+        controls = spark.createDataFrame([("e", "c", i, 100.0 if control_too and i == at else 1.0) for i in range(n)], "episode_id string, camera string, frame_idx bigint, ratio double")
+        return V.dropped_chunk_count(changes, controls).first()
+
+    assert found(30, False).value == 1.0
+    assert found(30, True).value == 0.0
+    assert found(4, False).value == 0.0  # within ten steps of the start
+    assert found(10, False, n=20).reason == "too few steps"
+    jumps = spark.createDataFrame([("e", 30, 9.0), ("e", 12, 5.0)], "episode_id string, frame_idx bigint, z double")
+    changes = spark.createDataFrame([("e", "c", i, i / 10, 100.0 if i == 30 else 1.0 + i % 2) for i in range(60)], CHANGES)
+    assert V.cut_count(changes, jumps).first().value == 1.0
+
+
+def test_lag_of_the_picture_behind_the_control(spark):
+    x = np.random.default_rng(2).normal(size=200)
+    for shift in (0, 3):
+        rows = [("e", "c", k, float(x[k]), float(x[k - shift])) for k in range(shift, 200)]
+        pairs = spark.createDataFrame(rows, "episode_id string, camera string, k bigint, x double, y double")
+        assert V.video_control_lag_ms(pairs, 0.1).first().value == pytest.approx(100 * shift, abs=30)
+    short = spark.createDataFrame(rows[:2], "episode_id string, camera string, k bigint, x double, y double")
+    assert V.video_control_lag_ms(short, 0.1).first().reason == "too little overlap"
