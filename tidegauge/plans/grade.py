@@ -121,7 +121,7 @@ def grade(spark: SparkSession, path: str, policy: tuple[P.Grade, ...] = P.DEFAUL
     """Grades what lies at a path; options: those of grade_samples.
 
     A file is read by the adapter that is surest of it, a folder file by file, each
-    an episode.  A tree of episodes is one scan, graded with its contracts; its clock
+    an episode.  A tree of episodes is read as one table and graded with its contracts; its clock
     is certified unless stamps are just frame numbers over the declared rate.
     """
     from ..sources import lerobot, tabular, walk

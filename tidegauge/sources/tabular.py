@@ -247,7 +247,7 @@ def read_folder(spark: SparkSession, root: str, max_bytes: int = 20_000_000_000,
 
     Each file is inferred by itself and is an episode named by its path below the
     root.  The plan has a branch for each file: what is too large for the limits
-    is refused, and belongs in a Parquet tree, which is one scan.
+    is refused, and belongs in a Parquet tree, which is read as one table.
     """
     from .walk import AmbiguousSource
 
