@@ -18,7 +18,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +31,22 @@ GROUPS = 256
 _GROUP = (T.mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(GROUPS)).astype(np.uint8)
 _HELD = 1 << 21
 _LOG_2 = math.log(2)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 Level = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def codes(buf: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Each byte with the ``depth`` before it in its text, zeros before the start."""
-    value = buf.astype(np.uint64)
-    out = value.copy()
-    place = np.arange(len(buf)) - np.repeat(at[:-1], np.diff(at))
-    for back in range(1, depth + 1):
-        before = np.zeros_like(value)
-        before[back:] = value[:-back]
-        before[place < back] = 0
-        out |= before << np.uint64(8 * (depth + 1 - back))
+    padded = np.zeros(depth + len(buf) + 8, np.uint8)
+    padded[depth : depth + len(buf)] = buf
+    out = np.ndarray(len(buf), "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * depth) - 1)  # the bytes before each, the oldest lowest
+    out <<= np.uint64(8)
+    out |= buf
+    whole = (1 << 8 * (depth + 1)) - 1
+    for place in range(depth):
+        first = at[:-1] + place
+        out[first[first < at[1:]]] &= np.uint64(whole ^ ((1 << 8 * (depth + 1 - place)) - 1) | 255)
     return out
 
 
@@ -59,6 +60,20 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[edge], np.diff(np.append(edge, len(values)))
 
 
+def _alike(values: np.ndarray) -> np.ndarray:
+    """An order in which equal values stand together, but for those whose hashes begin alike: they may be mixed.
+
+    Hash and place are sorted as one number, which is faster than sorting places by values.
+    """
+    place = np.uint64((1 << len(values).bit_length()) - 1)
+    both = values * _SPREAD
+    both &= ~place
+    both |= np.arange(len(values), dtype=np.uint64)
+    both.sort()
+    both &= place
+    return both.view(np.int64)
+
+
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys = keys[order]
@@ -242,11 +257,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
                 yield asked()
                 every, held, block = _Counts(), 0, uuid.uuid4().int >> 65
             code = codes(buf, at, depth)
-            found, _ = _distinct(code)
-            learnt, n = _distinct(code[np.repeat(~part.column("held").to_numpy(zero_copy_only=False), np.diff(at))])
-            counts = np.zeros(len(found), np.int64)
-            counts[np.searchsorted(found, learnt)] = n
-            every.add(found, counts)
+            held_out = np.repeat(part.column("held").to_numpy(zero_copy_only=False), np.diff(at))
+            every.add(*_distinct(code[~held_out]))
+            found, _ = _distinct(code[held_out])
+            every.add(found, np.zeros(len(found), np.int64))
             held += len(buf)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([_sealed(part.select(["doc_id", "rk", "text"]))], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())],
@@ -321,16 +335,22 @@ def _answer(batches: Iterator[pa.RecordBatch], depth: int, log_kt, top: list[Lev
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(parts, pa.int32()), pa.array(logs, pa.binary())], names=["block", "part", "logs"])
 
 
+def _gathered(pieces: Iterator[np.ndarray]) -> np.ndarray:
+    """The distinct values of all pieces, merged whenever many are held."""
+    held, more, limit = np.zeros(0, np.uint64), [], _HELD
+    for piece in pieces:
+        more.append(piece)
+        if sum(map(len, more)) > limit:
+            held, more = _distinct(np.concatenate([held, *more]))[0], []
+            limit = max(len(held) // 2, _HELD)
+    return _distinct(np.concatenate([held, *more]))[0]
+
+
 class Answers:
     """The log2 probabilities of a block's codes."""
 
     def __init__(self, texts: list[bytes], parts: list[int], logs: list[bytes], depth: int) -> None:
-        found = _Counts()
-        for raw in texts:
-            for _, buf, at in T.chunks(_opened(raw)):
-                keys, n = _distinct(codes(buf, at, depth))
-                found.add(keys, n)
-        self.keys, _ = found.merged()
+        self.keys = _gathered(_distinct(codes(buf, at, depth))[0] for raw in texts for _, buf, at in T.chunks(_opened(raw)))
         self.values, self.depth = np.full(len(self.keys), np.nan), depth
         order, cut = _grouped(self.keys, depth)
         for g, raw in zip(parts, logs, strict=True):
@@ -339,12 +359,17 @@ class Answers:
 
     def scores(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The log2 probability of each text."""
-        found = pc.dictionary_encode(pa.array(codes(buf, at, self.depth)))
-        asked = found.dictionary.to_numpy()
-        order = np.argsort(asked)
-        log = np.zeros(len(asked))
-        log[order] = self.values[np.searchsorted(self.keys, asked[order])]
-        total = np.concatenate(([0.0], np.cumsum(log[found.indices.to_numpy()])))
+        code = codes(buf, at, self.depth)
+        order = _alike(code)
+        code = code[order]
+        edge = _edges(code)
+        asked = code[edge]
+        by_key = np.argsort(asked)
+        each = np.empty(len(asked))
+        each[by_key] = self.values[np.searchsorted(self.keys, asked[by_key])]
+        log = np.empty(len(code))
+        log[order] = np.repeat(each, np.diff(np.append(edge, len(code))))
+        total = np.concatenate(([0.0], np.cumsum(log)))
         return total[at[1:]] - total[at[:-1]]
 
 

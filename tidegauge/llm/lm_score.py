@@ -113,9 +113,22 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - shift
 
 
+#: The same of a half and of one more than each small count, which most counts of nodes are.
+_SMALL = 1 << 14
+_HALF_MORE, _ONE_MORE = _lgamma(np.arange(_SMALL) + 0.5), _lgamma(np.arange(_SMALL) + 1.0)
+
+
+def _lgamma_of(count: np.ndarray, more: float, table: np.ndarray) -> np.ndarray:
+    out = table[np.minimum(count, _SMALL - 1).astype(np.int64)]
+    large = count >= _SMALL
+    if large.any():
+        out[large] = _lgamma(count[large] + more)
+    return out
+
+
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The natural log of the estimator's probability of a zeros and b ones."""
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - math.log(math.pi) - _lgamma(a + b + 1.0)
+    return _lgamma_of(a, 0.5, _HALF_MORE) + _lgamma_of(b, 0.5, _HALF_MORE) - math.log(math.pi) - _lgamma_of(a + b, 1.0, _ONE_MORE)
 
 
 class ContextTree:
