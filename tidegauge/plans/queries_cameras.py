@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alignment as A
+from ..operators import blocks as B
 from ..operators import cameras as C
 from ..operators import cohort as H
 from . import datasets as D
@@ -63,10 +64,8 @@ def worst_frames(spark, sf_dir):
 def like_length_pairs(spark, sf_dir):
     """Users of one group whose numbers of events of each kind are alike."""
     e = D.table(spark, sf_dir, "events")
-    rows = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    u = e.select("user_id", (F.col("user_id") % 10).alias("g")).distinct()
-    pairs = u.select("g", F.col("user_id").alias("a")).join(u.select("g", F.col("user_id").alias("b")), "g").where("a < b").select("a", "b")
-    return D.rounded(H.of_like_length(pairs, rows, "user_id", "event_type", "n", 0.34))
+    rows = e.groupBy((F.col("user_id") % 10).alias("g"), "user_id", "event_type").agg(F.count("*").alias("n"))
+    return D.rounded(B.like_pairs(rows, "g", "user_id", "event_type", "n", 0.34).select("a", "b", "mismatch"))
 
 
 def budgeted_pairs(spark, sf_dir):
