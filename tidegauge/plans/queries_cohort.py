@@ -28,7 +28,7 @@ def near_copies(spark, sf_dir):
 
 
 def nearest_partners(spark, sf_dir):
-    return D.rounded(H.nearest_partners(H.near_copies(_vectors(spark, sf_dir), limit=1.3), 5))
+    return D.rounded(H.nearest_partners(H.near_copies(_vectors(spark, sf_dir), limit=1.3, most=5), 5))
 
 
 def motion_variation(spark, sf_dir):
