@@ -66,6 +66,13 @@ def test_violations_repeat_and_go_back(spark):
     assert [r.kind for r in timing.violation_rows(s, streams(spark)).orderBy("row_idx").collect()] == ["repeated", "backwards"]
 
 
+def test_rows_that_share_a_number_are_each_a_violation(spark):
+    """Rows of one number were taken for one row; other channels of a row still are."""
+    t = [(0, 5), (1, 6), (1, 6), (1, 7), (2, 6)]
+    s = spark.createDataFrame([("e", "s", c, i, n, n * 1e-6, 0.0) for c in "xy" for i, n in t], SAMPLES)
+    assert sorted((r.row_idx, r.kind) for r in timing.violation_rows(s, streams(spark)).collect()) == [(1, "repeated"), (2, "backwards")]
+
+
 def test_drop_rate_sees_a_hole(spark):
     rows = [r for r in recording(spark, [0.0] * 30).collect() if not 10 <= r.row_idx < 15]
     s = spark.createDataFrame(rows, SAMPLES)

@@ -6,7 +6,7 @@ bridged.  Ticks are subtracted before they are scaled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import STREAM_KEY, WS, first_reason, results
@@ -95,8 +95,12 @@ def monotonic_violations(samples: DataFrame, streams: DataFrame) -> DataFrame:
 
 
 def violation_rows(samples: DataFrame, streams: DataFrame, most: int = 100) -> DataFrame:
-    """The evidence: the first rows whose gap isn't positive, at most so many a stream."""
-    bad = adjacent_gaps(samples, streams).where("gap <= 0").withColumn("place", F.row_number().over(WS()))
+    """The evidence: the first rows whose gap isn't positive, at most so many a stream; rows that share a number are all there, in order of their ticks."""
+    again = F.row_number().over(Window.partitionBy(*STREAM_KEY, "channel", "row_idx").orderBy("native"))
+    rows = samples.withColumn("_again", again).groupBy(*STREAM_KEY, "row_idx", "_again").agg(F.first("native").alias("native"))
+    w = Window.partitionBy(*STREAM_KEY).orderBy("row_idx", "_again")
+    gap = (F.col("native") - F.lag("native").over(w)) * F.col("scale")
+    bad = rows.join(streams.select(*STREAM_KEY, "scale"), list(STREAM_KEY)).withColumn("gap", gap).where("gap <= 0").withColumn("place", F.row_number().over(w))
     return bad.where(F.col("place") <= most).select(*STREAM_KEY, "row_idx", F.when(F.col("gap") == 0, "repeated").otherwise("backwards").alias("kind"))
 
 
