@@ -132,3 +132,34 @@ def test_an_episode_is_in_the_file_that_its_index_names(spark):
     rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "episode_id string, file string")
     got = {r.episode_id: (r.value, r.reason) for r in C.episode_file_mismatch(index, rows).collect()}
     assert got == {"a": (0.0, None), "b": (1.0, None), "c": (None, "no file is named")}
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "timestamp"])
+def test_strided_episodes_are_numbered_by_ranges(spark, kind):
+    """Places of one order without a window over all rows; nulls first, ties and odd sizes as before."""
+    from pyspark.sql import functions as F
+
+    from tidegauge.plans import eligibility as E
+
+    for n in (0, 1, 29, 30, 1000, 20011):
+        df = spark.range(n).select(F.when(F.col("id") % 97 > 0, F.col("id") * 7919 % 20011).alias("k")).withColumn("k", F.timestamp_seconds("k") if kind == "timestamp" else F.col("k").cast(kind))
+        got = E.strided(df, "k", 30)
+        order = [r.k for r in df.orderBy("k").collect()]
+        step = max(1, n // 30)
+        want = [x for i, x in enumerate(order) if i % step == 0 and i < step * 30]
+        assert sorted((r.k for r in got.collect()), key=str) == sorted(want, key=str)
+    assert kind == "timestamp" or "SinglePartition" not in got._jdf.queryExecution().toString()
+
+
+def test_numbers_by_ranges_equal_one_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tidegauge.operators.places import numbered
+
+    df = spark.range(30000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 50 > 0, F.col("id") * 7919 % 9973).alias("k"), "id")
+    df = df.withColumn("g", F.when(F.col("g") > 0, F.col("g")))
+    want = df.withColumn("p", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")) - 1)
+    got = numbered(df, ["g"], ["k", "id"], "p")
+    assert got.select("chunk").distinct().count() > 50
+    assert got.select("g", "k", "id", "p").exceptAll(want.select("g", "k", "id", F.col("p").cast("bigint"))).isEmpty() and got.count() == 30000

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.places import bounds, range_of
 from .policy import Grade
 
 VIDEO = ("video_quality", "sampled_video_quality")
@@ -175,11 +176,21 @@ def critical_keys(findings: DataFrame) -> DataFrame:
 
 
 def strided(episodes: DataFrame, order: str, sample: int) -> DataFrame:
-    """``sample`` episodes at most, evenly strided over their order; the numbering is one window over one narrow column."""
+    """``sample`` episodes at most, evenly strided over their order; ranges of the order are numbered each by itself, and only those with one of the places."""
     n = episodes.count()
     step = max(1, n // max(1, sample))
-    rows = episodes.withColumn("_k", F.row_number().over(Window.orderBy(order)) - 1)
-    return rows.where((F.col("_k") % step == 0) & (F.col("_k") < step * sample)).drop("_k")
+    rows = episodes.withColumn("_c", range_of(F.col(order), bounds(episodes, order), episodes.schema[order].dataType))
+    start, wanted = 0, {}
+    for r in sorted(rows.groupBy("_c").count().collect()):
+        first = -(-start // step) * step
+        if first < min(start + r["count"], step * sample):
+            wanted[r["_c"]] = start
+        start += r["count"]
+    if not wanted:
+        return episodes.limit(0)
+    before = F.element_at(F.create_map(*[F.lit(x) for c, k in wanted.items() for x in (c, k)]), F.col("_c"))
+    rows = rows.where(F.col("_c").isin(list(wanted))).withColumn("_k", before + F.row_number().over(Window.partitionBy("_c").orderBy(order)) - 1)
+    return rows.where((F.col("_k") % step == 0) & (F.col("_k") < step * sample)).drop("_k", "_c")
 
 
 def overlap(tuning: DataFrame, validation: DataFrame, key: str) -> DataFrame:
