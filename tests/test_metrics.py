@@ -139,3 +139,69 @@ def test_timestamp_of_key(spark):
 
     got = spark.range(1).select(timestamp_of_key(F.lit("CAM12_2024-01-02-03h-04m-05s")).alias("t")).first().t
     assert got == 1704164645
+
+
+def _odd(spark):
+    """Channels with nulls, runs over the ends of parts, two values, one value, few rows; steps that vary."""
+    import random
+
+    r = random.Random(3)
+    made = {
+        "walk": [r.choice([1.0, 1.0, 2.0, 3.5, 7.25]) for _ in range(200)],
+        "nulls": [None if r.random() < 0.3 or 40 <= i < 75 else r.random() for i in range(200)],
+        "switch": [float(i // 9 % 2) for i in range(200)],
+        "long": [r.random() if i < 50 or i > 120 else 4.0 for i in range(200)],
+        "one": [0.1] * 200,
+        "nan": [float("nan") if i in (13, 14) else r.random() for i in range(200)],
+        "rest": [math.sin(i) * (1 if i < 150 else 1e-3) for i in range(200)],
+        "few": [1.0, None, 3.0],
+    }
+    rows = [("e", "s" if c != "rest" else "q", c, i, i, i * 0.01 + (i % 3) * 1e-3, v) for c, x in made.items() for i, v in enumerate(x)]
+    rows += [("e", "tiny", "x", i, i, i * 0.01, float(i)) for i in range(4)]
+    return spark.createDataFrame(rows, SAMPLES)
+
+
+ODD = {
+    "mean_jerk_norm": motion.mean_jerk_norm,
+    "max_abs_jerk": motion.max_abs_jerk,
+    "log_dimensionless_jerk": motion.log_dimensionless_jerk,
+    "still_drift": motion.still_drift,
+    "flatline_pct": integrity.flatline_pct,
+    "snr_db": integrity.snr_db,
+    "longest_run": lambda s, _: sequences.longest_run(s),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ODD))
+def test_parts_of_a_channel_give_what_the_whole_gives(spark, name):
+    """However a channel is parted; and no window is over a whole channel's rows."""
+    s = _odd(spark)
+    st = streams(spark).unionByName(streams(spark, stream="q")).unionByName(streams(spark, stream="tiny"))
+    table = lambda df: {tuple(r[:3]) if "channel" in df.columns else tuple(r[:2]): tuple(float(f"{x:.11g}") if isinstance(x, float) else x for x in r[2:]) for r in df.collect()}
+    whole = table(ODD[name](s, st))
+    assert len(whole) >= 3
+    for size in (1, 2, 7, 50):
+        parts = ODD[name](s.withColumn("chunk", F.floor(F.col("row_idx") / size)), st)
+        assert table(parts) == whole, size
+    assert "windowspecdefinition(episode_id" in (plan := parts._jdf.queryExecution().optimizedPlan().toString()) and "chunk" in plan
+
+
+def test_metrics_of_parts_equal_plain_sums(spark):
+    import statistics
+
+    s = _odd(spark)
+    v = {}
+    for r in s.orderBy("row_idx").collect():
+        v.setdefault((r.stream, r.channel), []).append((r.t, r.v))
+    dt = statistics.median(b[0] - a[0] for (st, _), x in v.items() if st == "q" for a, b in zip(x, x[1:]))
+    x = [b for _, b in v["q", "rest"]]
+    d3 = [d - 3 * c + 3 * b - a for a, b, c, d in zip(x, x[1:], x[2:], x[3:])]
+    want = math.sqrt(sum(d * d for d in d3) / len(d3)) / statistics.pstdev(x) / dt**3
+    st = streams(spark, stream="q")
+    p = s.withColumn("chunk", F.floor(F.col("row_idx") / 7))
+    assert one(motion.mean_jerk_norm(p, st)).value == pytest.approx(want)
+    assert one(motion.max_abs_jerk(p, st)).value == pytest.approx(max(map(abs, d3)) / statistics.pstdev(x) / dt**3)
+    r = {r.channel: r for r in sequences.longest_run(p).collect()}
+    assert (r["long"].start, r["long"].stop, r["long"].length) == (51, 120, 70) and (r["one"].start, r["one"].length) == (1, 199)
+    q = {r.channel: r for r in integrity.flatline_pct(p).collect()}
+    assert q["switch"].reason == "two-valued switch" and q["one"].value == 100.0
