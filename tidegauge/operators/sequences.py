@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import CHANNEL_KEY, W, finite
+from .parts import PART_KEY, parted
 
 
 def with_previous(samples: DataFrame) -> DataFrame:
@@ -36,9 +37,41 @@ def equal_runs(samples: DataFrame) -> DataFrame:
 
 
 def longest_run(samples: DataFrame) -> DataFrame:
-    """The longest run of unchanged values of each channel, the first of equals."""
+    """The longest run of unchanged values of each channel, the first of equals.
+
+    Runs are found within parts of a channel; those at a part's ends are joined to their neighbours' by the few pieces that the parts leave.
+    """
+    w = Window.partitionBy(*PART_KEY).orderBy("row_idx")
+    ok = F.coalesce(finite(F.col("v")), F.lit(False))
+    same = F.coalesce(ok & (F.col("v") == F.lag("v").over(w)) & F.lag(ok).over(w), F.lit(False))
+    rows = parted(samples).withColumns({"_same": same, "_pos": F.row_number().over(w)})
+    # a part's first row opens run 0, each other row that isn't the same opens the next
+    rows = rows.withColumn("_run", F.sum(F.when(F.col("_same") | (F.col("_pos") == 1), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = F.when(F.col("_same"), F.col("row_idx"))
+    each = rows.groupBy(*PART_KEY, "_run").agg(F.count(inside).alias("length"), F.min(inside).alias("start"), F.max(inside).alias("stop"), F.min("row_idx").alias("_from"), F.max_by("v", "_pos").alias("_v"))
+    piece = F.struct("length", "start", "stop")
+    ends = each.groupBy(*PART_KEY).agg(
+        F.max("_run").alias("_last"),
+        F.max_by(piece, "_run").alias("_tail"),
+        F.max_by("_v", "_run").alias("_v"),
+        F.max(F.when(F.col("_run") == 0, piece)).alias("_head"),
+        F.max(F.when(F.col("_run") == 0, F.struct("_from", "_v"))).alias("_first"),
+        F.max(F.when(F.col("length") > 0, F.struct("length", (-F.col("start")).alias("_back"), "stop"))).alias("_best"),
+    )
+    parts = Window.partitionBy(*CHANNEL_KEY).orderBy("chunk")
+    before, first = F.lag("_v").over(parts), F.col("_first._v")
+    joined = F.coalesce(finite(first), F.lit(False)) & F.coalesce(finite(before), F.lit(False)) & F.coalesce(first == before, F.lit(False))
+    none = F.struct(F.lit(0).cast("bigint").alias("length"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("stop"))
+    at = lambda k, flag, p: F.struct(F.lit(k).alias("k"), flag.alias("same"), p.alias("p"), (p.getField("length") > 0).alias("some"))
+    opened = F.struct(F.when(F.col("_joined"), 1).otherwise(0).cast("bigint").alias("length"), F.col("_first._from").alias("start"), F.col("_first._from").alias("stop"))
+    pieces = F.array(at(0, F.col("_joined"), opened), at(1, F.lit(True), F.col("_head")), at(2, F.col("_last") == 0, none), at(3, F.lit(True), F.when(F.col("_last") > 0, F.col("_tail")).otherwise(none)), at(4, F.lit(True), F.struct("_best.length", (-F.col("_best._back")).alias("start"), "_best.stop")))
+    long = ends.withColumn("_joined", joined).select(*PART_KEY, F.explode(pieces).alias("e")).select(*PART_KEY, "e.*")
+    whole = Window.partitionBy(*CHANNEL_KEY).orderBy("chunk", "k").rowsBetween(Window.unboundedPreceding, 0)
+    # the best run within a part stands for itself
+    alone = F.when(F.col("k") == 4, F.col("chunk")).alias("_alone")
+    found = long.withColumn("_run", F.sum(F.when(F.col("same"), 0).otherwise(1)).over(whole)).where("some").groupBy(*CHANNEL_KEY, "_run", alone).agg(F.min("p.start").alias("start"), F.max("p.stop").alias("stop"), F.sum("p.length").alias("length")).drop("_run", "_alone")
     best = Window.partitionBy(*CHANNEL_KEY).orderBy(F.desc("length"), "start")
-    return equal_runs(samples).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    return found.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
 def full_window(value: Column, c: Column, half: int) -> Column:

@@ -99,7 +99,7 @@ _KEYS = ("episode_id", "stream", "channel")
 
 
 def longest_run(spark, sf_dir):
-    return Q.longest_run(D.arm_samples(spark, sf_dir))
+    return Q.longest_run(D.arm_parts(spark, sf_dir))
 
 
 def flat_runs(spark, sf_dir):
